@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import bpe
-from tessella.llm.shared import documents
+from tessella.llm import bpe, langid, media, token_file, toxicity
+from tessella.llm.shared import documents, fold
 
 
 def vocabulary() -> str:
@@ -26,8 +27,39 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary())
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text; learnt from labels outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"), learn_from=fold("doc_id") != 0)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; learnt from documents outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, learn_from=fold("doc_id") != 0)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.rejected")
+
+
+def op8_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every text as an image in tar shards, read the stored bytes back, and return digests and features."""
+    rows = media.store(documents(spark, sf_dir))
+    return media.read_back(rows).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the token ids of all documents with Elias-Fano boundaries and read the files back."""
+    return token_file.read(token_file.write(documents(spark, sf_dir), vocabulary(), end_id=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op5_language_id": op5_language_id,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op8_media_store": op8_media_store,
+    "op10_token_files": op10_token_files,
 }
 
 SQL: dict[str, str] = {}

@@ -8,6 +8,7 @@ executor, and cuts the lineage of what is built on it.
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -67,31 +68,21 @@ def local_path(uri: str) -> str | None:
     return None if "://" in uri else uri
 
 
-def put_bytes(uri: str, chunks) -> int:
-    """Write the chunks as one file, under another name until whole.
+def open_sink(uri: str):
+    """A file to write in the shared folder.
 
     Local and mounted paths go through the operating system, every other scheme
-    through pyarrow's file systems.  Returns the number of bytes.
+    through pyarrow's file systems.  Callers choose a name of their own for each
+    attempt of a task, so what a lost attempt leaves is never read.
     """
-    size = 0
     if path := local_path(uri):
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{uuid.uuid4().hex}.part"
-        with open(part, "wb") as out:
-            for chunk in chunks:
-                out.write(chunk)
-                size += len(chunk)
-        os.replace(part, path)
-        return size
+        return open(path, "wb")  # noqa: SIM115
     from pyarrow import fs
 
     files, path = fs.FileSystem.from_uri(uri)
     files.create_dir(os.path.dirname(path), recursive=True)
-    with files.open_output_stream(path) as out:
-        for chunk in chunks:
-            out.write(chunk)
-            size += len(chunk)
-    return size
+    return files.open_output_stream(path)
 
 
 class RangeReader:
@@ -110,6 +101,9 @@ class RangeReader:
         self._file.seek(offset)
         return self._file.read(length)
 
+    def size(self) -> int:
+        return self._file.seek(0, os.SEEK_END) if isinstance(self._file, io.IOBase) else self._file.size()
+
     def close(self) -> None:
         self._file.close()
 
