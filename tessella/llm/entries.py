@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, media, token_file, toxicity
+from tessella.llm import bpe, langid, licenses, media, token_file, toxicity, urls
 from tessella.llm.shared import documents, fold
 
 
@@ -27,6 +27,11 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary())
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases and labels of license texts in every whole text."""
+    return licenses.summary(licenses.scan(documents(spark, sf_dir)))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every whole text; learnt from labels outside the held-out fold."""
     docs = documents(spark, sf_dir)
@@ -35,6 +40,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Rules of the url query.
+URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and path templates over the url of every page."""
+    return urls.judge(documents(spark, sf_dir, "pages"), urls.parse_rules(URL_RULES))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text; learnt from documents outside the held-out fold."""
     docs = documents(spark, sf_dir)
@@ -55,7 +69,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
+    "op3_url_filter": op3_url_filter,
     "op5_language_id": op5_language_id,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_media_store": op8_media_store,
