@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, licenses, media, token_file, toxicity, urls
+from tessella.llm import bpe, langid, licenses, media, mips, token_file, toxicity, urls
 from tessella.llm.shared import documents, fold
 
 
@@ -49,6 +49,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(documents(spark, sf_dir, "pages"), urls.parse_rules(URL_RULES))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector with all others."""
+    found = mips.search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text; learnt from documents outside the held-out fold."""
     docs = documents(spark, sf_dir)
@@ -72,10 +78,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
     "op3_url_filter": op3_url_filter,
+    "op4_top_k": op4_top_k,
     "op5_language_id": op5_language_id,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_media_store": op8_media_store,
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_top_k": """
+        WITH sound AS (
+            SELECT vec_id, embedding FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), part AS (
+            SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM sound
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, SUM(q.x * c.x) AS score
+            FROM part q JOIN part c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+    """,
+}
