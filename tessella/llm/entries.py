@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, licenses, media, mips, token_file, toxicity, urls
+from tessella.llm import bpe, langid, licenses, media, mips, setjoin, token_file, toxicity, urls
 from tessella.llm.shared import documents, fold
 
 
@@ -63,6 +63,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.rejected")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles have a Jaccard similarity of 0.75 or more."""
+    return setjoin.join(documents(spark, sf_dir))
+
+
 def op8_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an image in tar shards, read the stored bytes back, and return digests and features."""
     rows = media.store(documents(spark, sf_dir))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_top_k": op4_top_k,
     "op5_language_id": op5_language_id,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_media_store": op8_media_store,
     "op10_token_files": op10_token_files,
 }
@@ -99,4 +105,22 @@ SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
     """,
+    "op7_near_duplicates": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM words
+        ), part AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+        ), link AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM part a JOIN part b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        )
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM sets s JOIN reach r ON s.doc_id = r.a GROUP BY ALL
+    """,
 }
