@@ -33,7 +33,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 #: Words whose ids a worker remembers before it starts afresh, and characters of
 #: the longest such word; both bound memory only.
-CACHE_WORDS, CACHE_WORD_CHARS = 700_000, 100
+CACHE_WORDS, CACHE_WORD_CHARS = 1_500_000, 60
 #: Characters of text whose words are put into one trie.
 TRIE_CHARS = 4_000_000
 #: Two runs of white space with a plain space between them: there a cut at single
@@ -48,6 +48,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def _pack(ids: list[int]) -> bytes:
+    return _PACKERS[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class TrieBpe:
     """Encoder and decoder for a byte-level BPE vocabulary file (``tokenizer.json``)."""
 
@@ -82,7 +89,9 @@ class TrieBpe:
         self.path = path
         self._library = None
         self._whole: dict[int, bool] = {}
-        self._known: dict[str, bytes] = {}
+        self._after: dict[str, bytes] = {}
+        self._plain: dict[str, bytes] = {}
+        self._forget()
 
     @staticmethod
     def _newer_letters():
@@ -132,17 +141,18 @@ class TrieBpe:
             meeting = merges.get((left, right))
             if meeting is not None and meeting[0] < until:
                 return False
-            if rank[left] > rank[right]:
-                until = rank[left]
+            if (formed := rank[left]) > rank[right]:
+                until = formed
                 left = halves[left][1]
-            elif rank[right] >= 0:
-                until = rank[right] + 1
+            elif (formed := rank[right]) >= 0:
+                until = formed + 1
                 right = halves[right][0]
             else:
                 return True
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of each distinct word, packed as little-endian unsigned 32-bit integers."""
+        words = list(words)
         root: dict = {}
         for word in words:
             node = root
@@ -153,35 +163,38 @@ class TrieBpe:
                 node = child
             node[-1] = word
         found: dict[str, bytes] = {"": b""}
-        last, reach = [0], [0]  # by depth: the last token, and how far back a token under way may begin
-        state, stands, follows, bytes_of = self.starts.get, self._stands, self._follows, self.bytes_of
-        stack = [(byte, child, 1) for byte, child in root.items() if byte >= 0]
-        path = bytearray()
+        deepest = max((len(w) for w in map(str.encode, words)), default=0)
+        # by depth: bytes of the path, the last token and its length, and how far back a token under way may begin
+        path, last, size, reach = bytearray(deepest), [0] * (deepest + 1), [0] * (deepest + 1), [0] * (deepest + 1)
+        state, stands, follows = self.starts.get, self._stands, self._follows
+        stack = [(byte, child, 0) for byte, child in root.items() if byte >= 0]
+        push, pop = stack.append, stack.pop
         while stack:
-            byte, node, depth = stack.pop()
-            del path[depth - 1 :], last[depth:], reach[depth:]
-            path.append(byte)
-            tail = bytes(path[-1 - reach[-1] :])
-            for start in range(len(tail)):
-                token = state(tail[start:])
-                if token is None:
-                    continue
-                length = len(tail) - start
-                if len(reach) == depth:
-                    reach.append(length)
-                if token >= 0 and (follows(last[depth - length], token) if length < depth else stands(token)):
-                    last.append(token)
+            byte, node, above = pop()
+            path[above] = byte
+            depth = above + 1
+            start = above - reach[above]
+            token = state(tail := bytes(path[start:depth]))
+            while token is None:
+                start += 1
+                token = state(tail := tail[1:])
+            reach[depth] = depth - start
+            while True:
+                if token is not None and token >= 0 and (follows(last[start], token) if start else stands(token)):
+                    last[depth], size[depth] = token, depth - start
                     break
+                start += 1
+                token = state(tail := tail[1:])
             for byte, child in node.items():
                 if byte >= 0:
-                    stack.append((byte, child, depth + 1))
+                    push((byte, child, depth))
                 else:
                     at, back = depth, []
                     while at:
                         back.append(last[at])
-                        at -= len(bytes_of[last[at]])
+                        at -= size[at]
                     back.reverse()
-                    found[child] = struct.pack(f"<{len(back)}I", *back)
+                    found[child] = _pack(back)
         return found
 
     def _words(self, text: str) -> list[str]:
@@ -193,59 +206,116 @@ class TrieBpe:
             return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
         return self.words.findall(text)
 
-    def _pieces(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> list[tuple[dict, list[str]]]:
         """Cut a text at single spaces, or where that would cut a word, into words.
 
-        Each piece, with the space before it, is a run of whole words, so pieces
-        are encoded on their own; most recur, and are looked up.
+        Each piece is a run of whole words, so pieces are encoded on their own; most
+        recur, and are looked up.  Comes with the table that knows the pieces:
+        `_after` for pieces behind a space, which is left out, `_plain` for others.
         """
         if self.special and any(s in text for s in self.special):
-            out: list[str] = []
-            for i, piece in enumerate(self.cut.split(text)):
-                out.extend([piece] if i % 2 else self._words(piece))
+            out = []
+            for i, part in enumerate(self.cut.split(text)):
+                out.append((self._plain, [part] if i % 2 else self._words(part)))
             return out
         if "  " in text or TANGLED.search(text):
-            return self._words(text)
+            return [(self._plain, self._words(text))]
         first, *rest = text.split(" ")
-        return [first, *[" " + piece for piece in rest]]
+        return [(self._plain, [first]), (self._after, rest)]
 
     def encode_packed(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The packed ids of each text, in order; memory is bounded by `TRIE_CHARS` and the longest text."""
-        held: list[list[str]] = []
-        chars = 0
+        held, chars = [], 0
         for text in texts:
-            held.append(self._pieces(text or ""))
+            held.append([(table, pieces, list(map(table.get, pieces))) for table, pieces in self._cut(text or "")])
             chars += len(text or "")
             if chars >= TRIE_CHARS:
                 yield from self._join(held)
                 held, chars = [], 0
         yield from self._join(held)
 
-    def _join(self, held: list[list[str]]) -> Iterator[bytes]:
-        known = self._known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if not known:
-            known.update({s: struct.pack("<I", i) for s, i in self.special.items()})
-        found = self.encode_pieces({p for pieces in held for p in pieces if p not in known})
-        brief = {p: packed for p, packed in found.items() if len(p) <= CACHE_WORD_CHARS}
-        known.update(brief)
-        get = known.__getitem__ if len(brief) == len(found) else lambda p: found[p] if p in found else known[p]
-        for pieces in held:
-            yield b"".join(map(get, pieces))
+    def _join(self, held: list[list[tuple[dict, list[str], list]]]) -> Iterator[bytes]:
+        gaps, fresh = [], set()
+        for table, pieces, packed in (part for parts in held for part in parts):
+            if None in packed:
+                space = " " if table is self._after else ""
+                for i, known in enumerate(packed):
+                    if known is None:
+                        piece = space + pieces[i]
+                        fresh.add(piece)
+                        gaps.append((packed, i, piece))
+        if fresh:
+            if len(self._after) + len(self._plain) > CACHE_WORDS:
+                self._forget()
+            found = self.encode_pieces(fresh)
+            for piece, ids in found.items():
+                self._remember(piece, ids)
+            for packed, i, piece in gaps:
+                packed[i] = found[piece]
+        for parts in held:
+            yield b"".join([x for _, _, packed in parts for x in packed]) if len(parts) != 2 else b"".join(parts[0][2] + parts[1][2])
+
+    def _forget(self) -> None:
+        self._after.clear()
+        self._plain.clear()
+        self._plain.update({s: struct.pack("<I", i) for s, i in self.special.items()})
+
+    def _remember(self, piece: str, packed: bytes) -> None:
+        if len(piece) <= CACHE_WORD_CHARS:
+            if piece[:1] == " ":
+                self._after[piece[1:]] = packed
+            else:
+                self._plain[piece] = packed
+
+    def _recall(self, word: str) -> bytes | None:
+        return self._after.get(word[1:]) if word[:1] == " " else self._plain.get(word)
+
+    @staticmethod
+    def _parts(piece: str) -> list[str]:
+        """Parts of a piece that certainly are whole words or runs of them.
+
+        A line break between two that aren't white space is a word, and so is a mark
+        at the end behind a letter.
+        """
+        lines = piece.split("\n")
+        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in (lines[0][1:] or lines[0], *lines[1:])):
+            lines = [piece]
+        out = []
+        for i, line in enumerate(lines):
+            if i:
+                out.append("\n")
+            if len(line) > 2 and line[-1] in ".,;:!?" and line[-2].isalpha():
+                out.append(line[:-1])
+                out.append(line[-1])
+            else:
+                out.append(line)
+        return out
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Packed ids of distinct pieces: their distinct words go through one trie."""
+        """Packed ids of distinct pieces; only the parts that aren't known are encoded."""
         was_on = gc.isenabled()
         gc.disable()  # a trie has millions of nodes and no cycles
         try:
-            split = {piece: self._words(piece) for piece in pieces}
-            coded = self.encode_words(set().union(*split.values()))
-            return {piece: coded[words[0]] if len(words) == 1 else b"".join(map(coded.__getitem__, words)) for piece, words in split.items()}
+            split = {piece: self._parts(piece) for piece in pieces}
+            coded = {part: self._recall(part) for parts in split.values() for part in parts}
+            coded |= (fresh := self.encode_new([part for part, known in coded.items() if known is None]))
+            for part, packed in fresh.items():
+                self._remember(part, packed)
+            return {piece: coded[parts[0]] if len(parts) == 1 else b"".join(map(coded.__getitem__, parts)) for piece, parts in split.items()}
         finally:
             if was_on:
                 gc.enable()
 
+    def encode_new(self, parts: list[str]) -> dict[str, bytes]:
+        """Packed ids of distinct parts: their distinct new words go through one trie."""
+        split = {part: self._words(part) for part in parts}
+        coded = {word: self._recall(word) for word in set().union(*split.values())}
+        fresh = self.encode_words([word for word, known in coded.items() if known is None])
+        for word, packed in fresh.items():
+            self._remember(word, packed)
+        coded |= fresh
+        return {part: coded[words[0]] if len(words) == 1 else b"".join(map(coded.__getitem__, words)) for part, words in split.items()}
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(next(self.encode_packed([text])), dtype="<u4").tolist()
 
