@@ -1,9 +1,74 @@
-"""A corpus pipeline: stages that each apply one training-data operator."""
+"""A corpus pipeline: five stages that each apply one training-data operator.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)``, works on all rows its predecessor kept,
+and returns a DataFrame; :func:`run` writes each result as Parquet in the shared
+folder and rereads it for the next.  All stages but the last return the columns
+of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessella.llm import bpe, langid, mixing, setjoin, toxicity
+from tessella.llm.entries import MIX_TARGETS, labelled_languages, vocabulary
+from tessella.llm.shared import documents, durable
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that language identification rejects: no letter, or too far from every language."""
+    found = langid.identify(docs, langid.fit(docs), out_col="_language")
+    return found.filter(~F.col("_language.rejected")).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose toxicity is 0.5 or more."""
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, out_col="_toxicity").filter(F.col("_toxicity") < 0.5).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each group of near duplicates.
+
+    Rows of the same id are one document, and one of them stays.  Rows without an
+    id can't be told apart from others and stay.
+    """
+    groups = setjoin.join(docs)
+    first = durable(groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"])))
+    named = docs.join(first, "doc_id", "left_semi").withColumn("_rank", rank).filter("_rank = 1")
+    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents so that the languages' tokens meet their target weights; every document is used at least once."""
+    rates = mixing.mix(docs, labelled_languages(spark, sf_dir), MIX_TARGETS, lowest=1.0)
+    copies = rates.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    used = docs.join(copies, "doc_id", "left")
+    return used.withColumn("_use", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("_copies", F.lit(1)), F.lit(1))))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    return bpe.round_trip(docs, vocabulary())
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("mixing to target weights", mix_languages),
+    ("BPE encoding and decoding", encode),
+]
+
+#: SQL can express neither the classifiers nor the encoding.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents table."""
-    raise NotImplementedError
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir), name.split()[0])
+    return docs

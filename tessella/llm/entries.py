@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, licenses, media, mips, setjoin, token_file, toxicity, urls
+from tessella.llm import bpe, langid, licenses, media, mips, mixing, setjoin, token_file, toxicity, urls
 from tessella.llm.shared import documents, fold
 
 
@@ -74,6 +74,21 @@ def op8_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(rows).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+#: Target shares of the languages' tokens.
+MIX_TARGETS = {"en": 0.50, "de": 0.17, "fr": 0.18, "es": 0.15}
+
+
+def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain): the languages of the documents that the table of labels covers."""
+    docs = documents(spark, sf_dir).select("doc_id", F.col("lang").alias("domain"))
+    return documents(spark, sf_dir, "labels").select("doc_id").join(docs, "doc_id")
+
+
+def op9_mix_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates at which all documents are to be used, so that languages have their target shares of tokens."""
+    return mixing.mix(documents(spark, sf_dir), labelled_languages(spark, sf_dir), MIX_TARGETS)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the token ids of all documents with Elias-Fano boundaries and read the files back."""
     return token_file.read(token_file.write(documents(spark, sf_dir), vocabulary(), end_id=2))
@@ -88,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_media_store": op8_media_store,
+    "op9_mix_rates": op9_mix_rates,
     "op10_token_files": op10_token_files,
 }
 
