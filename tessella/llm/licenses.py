@@ -59,8 +59,8 @@ def _pairs(df: DataFrame, base: list[tuple[str, str]], extra: list[tuple[str, st
     rows = []
     for number, (phrase, _) in enumerate([*base, *extra]):
         w = phrase.split()
-        if len(w) < 2:
-            raise ValueError("a template needs two words at least")
+        if not 2 <= len(w) <= 64:
+            raise ValueError("a template has 2 to 64 words")
         rows += [(number, at, len(w), w[at], w[at + 1]) for at in range(len(w) - 1)]
     table = df.sparkSession.createDataFrame(rows, "template int, t int, size int, tw string, tnext string")
     return table.withColumn("gram", F.xxhash64("tw", "tnext"))
@@ -82,15 +82,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
     hit = F.coalesce((F.col("a") == F.col("tw")) & (F.col("b") == F.col("tnext")), F.lit(False))
     met = met.filter(hit | (F.coalesce("p", F.lit(0)) == 0))
     met = met.select("row", "id", "n_words", F.when(hit, F.col("template")).alias("template"), F.when(hit, F.col("size")).alias("size"), F.when(hit, F.col("t")).alias("t"), F.when(hit, F.col("p") - F.col("t")).alias("diagonal")).repartition("row")
-    votes = met.groupBy("row", "id", "n_words", "template", "size", "diagonal").agg(F.collect_set("t").alias("at"))
+    votes = met.groupBy("row", "id", "n_words", "template", "size", "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("at"), F.min("t").alias("low"), F.max("t").alias("high"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     short = F.col("size") <= 6
     apart = F.col("diagonal") - F.lag("diagonal").over(order)
     groups = votes.withColumn("new", F.when(apart.isNull() | short | (apart > slack), 1).otherwise(0)).withColumn("group", F.sum("new").over(order))
     spans = groups.groupBy("row", "id", "n_words", "template", "size", "group").agg(
-        F.min(F.col("diagonal") + F.array_min("at")).alias("first"),
-        F.max(F.col("diagonal") + F.array_max("at") + 1).alias("last"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_at"),
+        F.min(F.col("diagonal") + F.col("low")).alias("first"), F.max(F.col("diagonal") + F.col("high") + 1).alias("last"), F.bit_count(F.bit_or("at")).alias("n_at")
     )
     share = F.col("n_at") / (F.col("size") - 1)
     good = F.when(short, F.col("n_at") == F.col("size") - 1).otherwise(share >= cover)
