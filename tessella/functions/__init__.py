@@ -1 +1 @@
-"""See the module docstrings."""
+"""Column functions: vector distances, JSON access, tokens and BM25 arithmetic."""

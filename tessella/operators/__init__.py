@@ -1 +1 @@
-"""See the module docstrings."""
+"""Plain functions from DataFrames to DataFrames; the SQL front end calls the same ones."""

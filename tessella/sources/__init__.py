@@ -1 +1 @@
-"""See the module docstrings."""
+"""Readers, and tables as immutable versions over Parquet files."""
