@@ -28,17 +28,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import worker_cache
+
 #: Fixed value: the split into words of byte-level BPE vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Words whose ids a worker remembers before it starts afresh, and characters of
 #: the longest such word; both bound memory only.
-CACHE_WORDS, CACHE_WORD_CHARS = 1_500_000, 60
+CACHE_WORDS, CACHE_WORD_CHARS = 900_000, 60
 #: Characters of text whose words are put into one trie.
 TRIE_CHARS = 4_000_000
-#: Two runs of white space with a plain space between them: there a cut at single
-#: spaces isn't a cut between words.
-TANGLED = re.compile(r"\s \s")
+#: White space other than the space, before a space: there a cut at spaces may not be one between words.
+BREAKS = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 32))
+ASCII_BREAKS = tuple(x for x in BREAKS if x.isascii())
+#: After one of those a space that white space follows.
+TANGLED = re.compile(r"\s \s|  ")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -58,6 +62,9 @@ def _pack(ids: list[int]) -> bytes:
 class TrieBpe:
     """Encoder and decoder for a byte-level BPE vocabulary file (``tokenizer.json``)."""
 
+    #: Pieces that a worker remembers, if other than `CACHE_WORDS`.
+    most_known: int | None = None
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -218,8 +225,11 @@ class TrieBpe:
             for i, part in enumerate(self.cut.split(text)):
                 out.append((self._plain, [part] if i % 2 else self._words(part)))
             return out
-        if "  " in text or TANGLED.search(text):
-            return [(self._plain, self._words(text))]
+        for mark in ASCII_BREAKS if text.isascii() else BREAKS:
+            if mark in text:
+                if TANGLED.search(text):
+                    return [(self._plain, self._words(text))]
+                break
         first, *rest = text.split(" ")
         return [(self._plain, [first]), (self._after, rest)]
 
@@ -239,21 +249,23 @@ class TrieBpe:
         for table, pieces, packed in (part for parts in held for part in parts):
             if None in packed:
                 space = " " if table is self._after else ""
-                for i, known in enumerate(packed):
-                    if known is None:
-                        piece = space + pieces[i]
-                        fresh.add(piece)
-                        gaps.append((packed, i, piece))
+                i = -1
+                for _ in range(packed.count(None)):
+                    i = packed.index(None, i + 1)
+                    piece = space + pieces[i]
+                    fresh.add(piece)
+                    gaps.append((packed, i, piece))
         if fresh:
-            if len(self._after) + len(self._plain) > CACHE_WORDS:
+            if len(self._after) + len(self._plain) > (self.most_known or CACHE_WORDS):
                 self._forget()
             found = self.encode_pieces(fresh)
             for piece, ids in found.items():
                 self._remember(piece, ids)
             for packed, i, piece in gaps:
                 packed[i] = found[piece]
+        join = b"".join
         for parts in held:
-            yield b"".join([x for _, _, packed in parts for x in packed]) if len(parts) != 2 else b"".join(parts[0][2] + parts[1][2])
+            yield join([join(packed) for _, _, packed in parts])
 
     def _forget(self) -> None:
         self._after.clear()
@@ -324,14 +336,18 @@ class TrieBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, TrieBpe] = {}
+def calm_collector() -> None:
+    """Look for cycles less often: encoding makes many lists of strings, and no cycles."""
+    gc.set_threshold(200_000, 20, 100)
 
 
 def load(path: str) -> TrieBpe:
     """The encoder of a vocabulary file, read once per worker."""
-    if path not in _LOADED:
-        _LOADED[path] = TrieBpe(path)
-    return _LOADED[path]
+    kept = worker_cache("bpe")
+    if path not in kept:
+        calm_collector()
+        kept[path] = TrieBpe(path)
+    return kept[path]
 
 
 def encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

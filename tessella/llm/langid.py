@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import worker_cache
+
 #: Dimensions of the hashed n-gram space, centroids of a language.
 DIMS, CENTROIDS = 4096, 3
 #: A text is rejected below this share of the least cosine of its length class.
@@ -139,6 +141,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out_col:
     def language(texts):
         import pandas as pd
 
+        worker_cache("language")
         return pd.DataFrame(book.value.predict(texts.tolist()), columns=["lang", "score", "rejected"]).astype({"score": "float64", "rejected": "bool"})
 
     return docs.withColumn(out_col, language(F.col(text_col)))

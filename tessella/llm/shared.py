@@ -8,6 +8,8 @@ executor, and cuts the lineage of what is built on it.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import io
 import os
 import tempfile
@@ -108,6 +110,39 @@ class RangeReader:
         self._file.close()
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task.
+
+    Spark reuses workers for whatever comes next, so the first call of another
+    operator drops what the last one has kept, and gives the memory back.
+    """
+    if owner not in _CACHES:
+        had = bool(_CACHES)
+        _CACHES.clear()
+        _CACHES[owner] = {}
+        give_back(had)
+    return _CACHES[owner]
+
+
+def give_back(collect: bool = False) -> None:
+    """Return freed memory to the system, and let large arrays go back as soon as they are freed.
+
+    The C library otherwise keeps what a worker has once used, while the JVM beside
+    it may need it.
+    """
+    if collect:
+        gc.collect()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def fold(doc_id: Column | str, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

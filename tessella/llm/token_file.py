@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe
-from tessella.llm.shared import RangeReader, durable, fresh_dir, open_sink
+from tessella.llm.shared import RangeReader, durable, fresh_dir, open_sink, worker_cache
 
 #: Fixed value: the last bytes of a file.
 MAGIC = b"TSEF1\n"
@@ -174,6 +174,8 @@ class Reader:
 class LibraryEncoder(bpe.TrieBpe):
     """The same cut of texts into recurring pieces; the tokenizers library encodes the distinct ones."""
 
+    most_known = 1_500_000
+
     def __init__(self, path: str):
         import os
 
@@ -185,7 +187,7 @@ class LibraryEncoder(bpe.TrieBpe):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def encode_new(self, pieces: list[str]) -> dict[str, bytes]:
+    def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Packed ids of distinct pieces.
 
         Pieces that begin with one space and end in none go to the library many at
@@ -211,13 +213,13 @@ class LibraryEncoder(bpe.TrieBpe):
         return found
 
 
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(path: str) -> LibraryEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = LibraryEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of a vocabulary file, read once per worker."""
+    kept = worker_cache("token files")
+    if path not in kept:
+        bpe.calm_collector()
+        kept[path] = LibraryEncoder(path)
+    return kept[path]
 
 
 def write(docs: DataFrame, vocabulary: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, files: int | None = None, encoder: Callable = library_encoder) -> DataFrame:

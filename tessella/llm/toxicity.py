@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import worker_cache
+
 #: Bytes of a window; it ends at the last word end before.
 WINDOW = 48
 #: Thresholds on the difference of compressed lengths, in bytes.
@@ -175,6 +177,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
     def toxicity(texts):
         import pandas as pd
 
+        worker_cache("toxicity")
         return pd.Series([book.value.score(t) for t in texts.tolist()], dtype="float64")
 
     return docs.withColumn(out_col, toxicity(F.col(text_col)))
