@@ -132,6 +132,6 @@ class Cells:
         order = (self.centres @ q).argsort()[::-1] if self.metric == "dot" else ((self.centres - q) ** 2).sum(axis=1).argsort()
         return [int(i) for i in order[:probes]]
 
-    def search(self, assigned: DataFrame, id_col: str, column: str, query: list[float], k: int, probes: int = 6) -> DataFrame:
+    def search(self, assigned: DataFrame, id_col: str, column: str, query: list[float], k: int, probes: int = 13) -> DataFrame:
         """The nearest `k` of the probed cells, ranked exactly."""
         return nearest(assigned.filter(F.col("cell").isin(*self.probe(query, probes))), id_col, column, query, k, self.metric)

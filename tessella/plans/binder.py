@@ -76,7 +76,7 @@ class Binder:
                         raise GeneralError(f"Column '{name.column}' doesn't exist in table '{t.scope}'")
                     return i, name.column
             raise GeneralError(f"unknown table qualifier '{name.qualifier}'")
-        found = [i for i, t in enumerate(self.tables) if name.column in t.columns]
+        found = [i for i, t in enumerate(self.tables) if name.column in t.columns and (i, name.column) not in self.hidden]
         if not found:
             raise GeneralError(f"unknown column '{name.column}'")
         if len(found) > 1:
@@ -496,6 +496,7 @@ class _Grouped(Binder):
 
     def __init__(self, selection: Selection, keys: list[tuple[int, str]], slot: Callable, kinds: dict[str, str], aliases: dict):
         super().__init__(selection.binder.tables, selection.params)
+        self.hidden = selection.binder.hidden
         self.selection, self.keys, self.slot, self.slot_kinds, self.aliases = selection, keys, slot, kinds, aliases
 
     def column(self, name: A.Name) -> Typed:

@@ -1 +1 @@
-"""See the module docstrings."""
+"""SELECT statements of the dialect over streams."""
