@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, licenses, media, mips, mixing, setjoin, token_file, toxicity, urls
+from tessella.llm import bpe, langid, licenses, media, mips, mixing, oracles, setjoin, token_file, toxicity, urls
 from tessella.llm.shared import documents, fold
 
 
@@ -108,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_license_scan": oracles.license_scan(),
+    "op3_url_filter": oracles.url_filter(URL_RULES),
     "op4_top_k": """
         WITH sound AS (
             SELECT vec_id, embedding FROM embeddings
