@@ -59,7 +59,7 @@ def test_cells_recall(spark):
         assigned = cells.assign(vectors, "embedding").cache()
         assert assigned.count() == vectors.count() and assigned.filter("cell IS NULL").count() == 0
         hits = total = 0
-        for r in vectors.filter("vec_id % 200 = 7").collect():
+        for r in vectors.filter("vec_id % 500 = 7").collect():
             exact = {x.vec_id for x in search.nearest(vectors, "vec_id", "embedding", r.embedding, 10, metric).collect()}
             got = {x.vec_id for x in cells.search(assigned, "vec_id", "embedding", r.embedding, 10).collect()}
             hits, total = hits + len(exact & got), total + len(exact)
