@@ -51,7 +51,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text decoded from them."""
-    return bpe.round_trip(docs, vocabulary())
+    return bpe.round_trip(docs, vocabulary(), remember=500_000)  # executors still hold what the stages before have used
 
 
 STAGES = [

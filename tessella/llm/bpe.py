@@ -35,9 +35,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 #: Words whose ids a worker remembers before it starts afresh, and characters of
 #: the longest such word; both bound memory only.
-CACHE_WORDS, CACHE_WORD_CHARS = 900_000, 60
+CACHE_WORDS, CACHE_WORD_CHARS = 1_500_000, 60
 #: Characters of text whose words are put into one trie.
-TRIE_CHARS = 4_000_000
+TRIE_CHARS = 1_000_000
 #: White space other than the space, before a space: there a cut at spaces may not be one between words.
 BREAKS = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 32))
 ASCII_BREAKS = tuple(x for x in BREAKS if x.isascii())
@@ -363,17 +363,19 @@ def encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     return source.mapInPandas(run, f"id {kind}, token_ids binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def round_trip(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, remember: int | None = None) -> DataFrame:
     """Encode every text, decode its ids again, and return digests of both.
 
     Columns: `id_col`, n_tokens, ids_sha256, decoded_sha256, and with `keep_text`
-    the packed token_ids and the decoded text.
+    the packed token_ids and the decoded text.  `remember` is how many pieces of
+    text a worker may remember, where memory is short; results don't depend on it.
     """
 
     def run(batches):
         import pandas as pd
 
         bpe = load(vocabulary)
+        bpe.most_known = remember
         for batch in batches:
             rows = []
             for packed in bpe.encode_packed(batch["text"].tolist()):
