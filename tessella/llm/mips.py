@@ -1,11 +1,12 @@
 """Exact top-k search by inner product over norm-sorted vectors.
 
-Vectors are ranged by descending length into partitions, and each partition is
-processed in that order, in chunks.  A query leaves a chunk, and all after it,
-when its length times the chunk's greatest length can't reach its k-th best score
-so far.  For the rest, inner products over the first dimensions of an SVD rotation
-plus the product of the residual lengths (Cauchy-Schwarz) bound each score; only
-pairs whose bound reaches the k-th best are computed, exactly, on whole numbers.
+Vectors are ranged by descending length into files, and each task processes its
+rows in chunks.  A query leaves out a chunk when its length times the chunk's
+greatest length can't reach its k-th best score so far.  The order serves speed
+only: a task may read several files, or parts of files, so later chunks can hold
+longer vectors.  For the rest, inner products over the first dimensions of an SVD
+rotation plus the product of the residual lengths (Cauchy-Schwarz) bound each score;
+only pairs whose bound reaches the k-th best are computed, exactly, on whole numbers.
 The k-th best starts from the longest vectors of the whole table.
 
 The stated queries come in blocks of `block` rows: a block is broadcast to all
@@ -74,7 +75,7 @@ class Search:
                 self.least[i : i + 256] = np.partition(scores, -k, axis=1)[:, -k]
 
     def over(self, chunks):
-        """Best (query row, id, score) over chunks of (ids, vectors) in descending order of length."""
+        """Best (query row, id, score) over chunks of (ids, vectors) in any order; descending length is the fastest."""
         n = len(self.ids)
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(n)]  # scores, ids
         least = self.least.copy()
@@ -84,7 +85,7 @@ class Search:
             slack = 1 + 1e-9
             live = np.flatnonzero(self.norms * norms.max() * slack + 1e-6 >= least)
             if not len(live):
-                break
+                continue
             turned = vectors @ self.rotation
             part, rest = turned[:, :PART], np.linalg.norm(turned[:, PART:], axis=1)
             for at in range(0, len(live), 256):

@@ -52,3 +52,30 @@ def test_pruning_is_exact_and_prunes():
     s[np.arange(len(q)), q] = -np.inf
     want = [(i, int(j), int(s[i, j])) for i in range(len(q)) for j in np.lexsort((ids, -s[i]))[:5]]
     assert got == sorted(want)
+
+
+def test_longer_vectors_after_a_hopeless_chunk():
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(size=(2000, 8)) * 100)
+    x[1000:] *= 50
+    ids = np.arange(len(x))
+    q = np.arange(0, 2000, 40)
+    task = mips.Search(ids[q], x[q], 5, np.eye(8), (ids[1000:1256], x[1000:1256]))
+    got = sorted(task.over((ids[i : i + 250], x[i : i + 250]) for i in range(0, 2000, 250)))  # the short half comes first
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    assert got == sorted((i, int(j), int(s[i, j])) for i in range(len(q)) for j in np.lexsort((ids, -s[i]))[:5])
+
+
+def test_more_files_than_cores(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 8)) * 0.5
+    far = np.eye(8)[rng.integers(0, 8, 3000)] * (100 + np.arange(3000) / 10)[:, None]  # longer, but in smaller files, so tasks read them last
+    rows = [(i, v.tolist()) for i, v in enumerate(np.r_[x, far])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")  # one task reads all files
+    try:
+        got = sorted(tuple(r) for r in mips.search(df, F.col("vec_id") % 500 == 0, partitions=20).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == brute(rows, lambda i: i % 500 == 0)
