@@ -6,7 +6,8 @@ a bounded labelled sample.  A text is cut, at word ends, into windows of about
 difference of the two lengths says which kind of text it resembles.  The
 dictionaries are trained on one half of the sample.  On its other half the
 thresholds are calibrated: how many windows differ by at least so many bytes, and
-what share of all, is turned into a probability by logistic regression.
+what share of all, is turned into a probability by logistic regression, in which
+each document counts for all those that the sample drew it from.
 
 Both dictionaries end with the same ordinary part, so that ordinary words cost
 the same with either, and the toxic part holds segments of words that are much
@@ -103,20 +104,25 @@ def _train(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
-    """Weights of an L2-regularised logistic regression by Newton's method; the last is the constant."""
+def _logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Weights of an L2-regularised logistic regression by Newton's method over rows that stand for `counts` rows each; the last is the constant."""
+    counts = counts / counts.sum()
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     keep = np.r_[np.ones(len(w) - 1), 0]
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(ridge * keep + 1e-9)
-        w -= np.linalg.solve(hess, x.T @ (p - y) / len(y) + ridge * keep * w)
+        hess = (x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(ridge * keep + 1e-9)
+        w -= np.linalg.solve(hess, x.T @ (counts * (p - y)) + ridge * keep * w)
     return w
 
 
-def train(rows: list[tuple[str | None, int]]) -> Model:
-    """Fit dictionaries on every other document of each class, calibrate on the rest."""
+def train(rows: list[tuple[str | None, int]], share: dict[int, float]) -> Model:
+    """Fit dictionaries on every other document of each class, calibrate on the rest.
+
+    `share` is the part of each class that was drawn; a row counts for the rows it
+    stands for, so probabilities are those of all labelled documents.
+    """
     by = {k: [t for t, y in rows if y == k] for k in (0, 1)}
     if not by[0] or not by[1]:
         return Model()
@@ -137,8 +143,10 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
     model = Model(fill + common, own + common)
     held = [(t, y) for y, v in by.items() for t in (v[1::2] or v)]
     x = np.array([model.features(t) for t, _ in held])
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    model.weights = _logistic((x - model.mean) / model.scale, np.array([y for _, y in held], dtype=float))
+    counts = np.array([1 / share[y] for _, y in held])
+    model.mean = np.average(x, axis=0, weights=counts)
+    model.scale = np.sqrt(np.average((x - model.mean) ** 2, axis=0, weights=counts)) + 1e-9
+    model.weights = _logistic((x - model.mean) / model.scale, np.array([y for _, y in held], dtype=float), counts)
     return model
 
 
@@ -163,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     got = text.join(F.broadcast(picked), "id").collect()  # at most about sample_toxic + sample_ordinary small rows are broadcast
     got.sort(key=lambda r: (r.id, r.text or ""))
-    return train([(r.text, r.y) for r in got])
+    return train([(r.text, r.y) for r in got], share)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -63,6 +63,16 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_does_not_depend_on_the_rates_of_the_sample(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice("river stone cloud paper field glass".split()) for _ in range(12)), int(i % 10 == 0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for sample in ({}, {"sample_toxic": 150, "sample_ordinary": 300}):
+        model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), **sample)
+        scores = [model.score(t) for _, t, _ in rows]
+        assert abs(sum(scores) / len(scores) - 0.1) < 0.03  # texts say nothing here, so scores are the share of toxic documents
+
+
 def test_windows_cover_the_whole_text():
     rnd = random.Random(2)
     for _ in range(200):
