@@ -117,11 +117,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 0
     return w
 
 
-def train(rows: list[tuple[str | None, int]], share: dict[int, float]) -> Model:
+def train(rows: list[tuple[str | None, int]], share: dict[int, float], sample_windows: int = 60_000) -> Model:
     """Fit dictionaries on every other document of each class, calibrate on the rest.
 
     `share` is the part of each class that was drawn; a row counts for the rows it
-    stands for, so probabilities are those of all labelled documents.
+    stands for, so probabilities are those of all labelled documents.  The
+    dictionaries are trained on `sample_windows` pieces a class at most, drawn evenly
+    from all places of whole texts.
     """
     by = {k: [t for t, y in rows if y == k] for k in (0, 1)}
     if not by[0] or not by[1]:
@@ -133,10 +135,10 @@ def train(rows: list[tuple[str | None, int]], share: dict[int, float]) -> Model:
     marked = {w for w, c in seen[1].items() if c >= min(least, n[1]) and seen[0][w] / n[0] < 0.05 * c / n[1]}
     bad = [b" " + w + b" " for b in books[1] for w in b.split() if w in marked]
     bad = [b"".join(bad[i : i + 4]) for i in range(0, len(bad), 4)]
-    plain = [w for b in books[0] for w in windows(b, 76)[:60]]
+    plain = [w for b in books[0] for w in windows(b, 76)]
     rng = np.random.default_rng(0)
-    plain = [plain[i] for i in rng.permutation(len(plain))[:60_000]]
-    bad = [bad[i] for i in rng.permutation(len(bad))[:60_000]]
+    plain = [plain[i] for i in rng.permutation(len(plain))[:sample_windows]]
+    bad = [bad[i] for i in rng.permutation(len(bad))[:sample_windows]]
     common = _train(plain, ORDINARY_BYTES)
     own = _train(bad, TOXIC_BYTES) if bad else b""
     fill = b"".join(plain[-200:])[: len(own)]
@@ -150,11 +152,13 @@ def train(rows: list[tuple[str | None, int]], share: dict[int, float]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn_from: Column | None = None, sample_toxic: int = 3000, sample_ordinary: int = 6000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn_from: Column | None = None, sample_toxic: int = 3000, sample_ordinary: int = 6000, sample_windows: int = 60_000) -> Model:
     """Train on a sample of labelled documents.
 
     `sample_toxic` and `sample_ordinary` bound what reaches the driver: rows are
     drawn by a hash of the id, at rates from the class counts over all labels.
+    `sample_windows` is the most pieces of their whole texts, for each class, that
+    the dictionaries are trained on.
     `learn_from` is a condition on the id column; a document with several labels
     counts as toxic if any says so.
     """
@@ -171,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     got = text.join(F.broadcast(picked), "id").collect()  # at most about sample_toxic + sample_ordinary small rows are broadcast
     got.sort(key=lambda r: (r.id, r.text or ""))
-    return train([(r.text, r.y) for r in got], share)
+    return train([(r.text, r.y) for r in got], share, sample_windows)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -73,6 +73,15 @@ def test_toxicity_does_not_depend_on_the_rates_of_the_sample(spark):
         assert abs(sum(scores) / len(scores) - 0.1) < 0.03  # texts say nothing here, so scores are the share of toxic documents
 
 
+def test_dictionary_has_words_from_late_in_long_texts():
+    rnd = random.Random(4)
+    words = lambda names, n: " ".join(rnd.choice(names) for _ in range(n))
+    early, late = "river stone cloud paper field glass".split(), "lantern harbour cabinet meadow".split()
+    rows = [(words(early, 1500) + " " + words(late, 1500), 0) for _ in range(20)] + [(words(["vile", "nasty"], 200), 1) for _ in range(20)]
+    model = toxicity.train(rows, {0: 1.0, 1: 1.0})
+    assert all(w.encode() in model.ordinary for w in early + late)
+
+
 def test_windows_cover_the_whole_text():
     rnd = random.Random(2)
     for _ in range(200):
