@@ -1,8 +1,10 @@
 """All core queries against DuckDB, plans, search recall, tools and streams."""
 
 import decimal
+import inspect
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,28 @@ def test_cells_recall(spark):
         assert hits / total >= 0.95, metric
 
 
+@pytest.mark.parametrize("metric", ["l2", "dot"])
+def test_cells_recall_of_every_50th_vector(spark, metric):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    cells = search.Cells.fit(vectors, "vec_id", "embedding", metric=metric)
+    rows = cells.assign(vectors, "embedding").select("vec_id", "embedding", "cell").collect()
+    ids, at = np.array([r.vec_id for r in rows]), np.array([r.cell for r in rows])
+    x = np.array([r.embedding for r in rows], dtype=float)
+    asked = np.flatnonzero(ids % 50 == 0)
+    size = np.linalg.norm(x, axis=1)
+    score = x[asked] @ x.T
+    if metric == "l2":
+        score = 2 * score - size**2
+    elif metric == "cosine":
+        score /= size
+    hits = 0
+    for s, q in zip(score, x[asked], strict=True):
+        probed = np.isin(at, cells.probe(q, inspect.signature(cells.search).parameters["probes"].default))
+        hits += len(set(ids[np.argsort(-s)[:10]]) & set(ids[probed][np.argsort(-s[probed])[:10]]))
+    print(metric, len(asked), hits / (10 * len(asked)))
+    assert hits / (10 * len(asked)) >= 0.95
+
+
 def test_tools(spark):
     c = tessella.connect(spark=spark)
     c.load("docs", spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang"), primary_key="doc_id")
