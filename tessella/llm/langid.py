@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import worker_cache
+from tessella.llm.shared import bounded_sample, worker_cache
 
 #: Dimensions of the hashed n-gram space, centroids of a language.
 DIMS, CENTROIDS = 4096, 3
@@ -109,25 +109,20 @@ def train(rows: list[tuple[str, str]], k: int = CENTROIDS) -> Model:
     return Model(names, centroids, idf, floors)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_from: Column | None = None, sample_docs: int = 4000) -> Model:
-    """Train on a sample of about `sample_docs` labelled documents, evenly over the languages.
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_from: Column | None = None, sample_docs: int = 4000, sample_bytes: int = 32_000_000) -> Model:
+    """Train on a sample of labelled documents, evenly over the languages.
 
-    `sample_docs` bounds what reaches the driver; rows are drawn by a hash of the
-    id, at rates from the languages' counts over all rows.
+    `sample_docs` and `sample_bytes` bound what reaches the driver, in rows and in
+    bytes of their whole texts; equal rows count once in the sample.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     if learn_from is not None:
         known = known.filter(learn_from)
-    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not sizes:
-        return Model()
-    each = max(1.0, sample_docs / len(sizes))
-    rate = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
-    draw = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    got = known.filter(draw < rate[F.col("lang")]).collect()
-    got.sort(key=lambda r: (r.id, r.lang, r.text))
-    return train([(r.text, r.lang) for r in got])
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("kind"), F.col(text_col).alias("text"))
+    names = max(1, known.select("kind").distinct().count())
+    _, drawn = bounded_sample(known, max(1, sample_docs // names), sample_bytes // names, "language sample")
+    got = sorted(drawn.collect(), key=lambda r: (r.id, r.kind, r.text))
+    return train([(r.text, r.kind) for r in got])
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "language") -> DataFrame:

@@ -15,19 +15,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _MINE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where none is."""
+    """The shared folder of the session; a temporary one is set only where none is, and only if all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = jvm_dir.get() if jvm_dir.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -149,6 +151,32 @@ def fold(doc_id: Column | str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def bounded_sample(rows: DataFrame, most: dict[str | int, int] | int, most_bytes: int, salt: str) -> tuple[dict, DataFrame]:
+    """Of rows (id, kind, text): the number of rows of each kind, and a sample (id, kind, text) of whole texts.
+
+    Rows are drawn in the order of a hash of id and text, equal rows once; a kind
+    has at most `most` rows in the sample, and at most `most_bytes` bytes of text: its
+    draw ends before the text that exceeds them.  So neither one id with many rows nor
+    long texts make the sample larger than that.  A first filter at about twice the
+    rate needed keeps what is ranked small; every kind with a row is drawn from.
+    """
+    keyed = rows.withColumn("_h", F.xxhash64("id", "text", F.lit(salt))).withColumn("_u", F.pmod("_h", F.lit(1 << 30)))
+    told = keyed.groupBy("kind").agg(F.count("*").alias("n"), F.approx_count_distinct("_h").alias("d")).collect()  # a row a kind
+    counts = {r.kind: r.n for r in told}
+    limit = {k: most if isinstance(most, int) else most.get(k, 0) for k in counts}
+    rate = F.lit(0.0)
+    below = F.lit(0)
+    for r in told:
+        rate = F.when(F.col("kind") == r.kind, min(1.0, (2.2 * limit[r.kind] + 50) / max(1, r.d))).otherwise(rate)
+        below = F.when(F.col("kind") == r.kind, limit[r.kind]).otherwise(below)
+    near = durable(keyed.filter(F.col("_u") < rate * float(1 << 30)).groupBy("kind", "_u", "_h").agg(F.first("id").alias("id"), F.first("text").alias("text")), "sample")
+    order = Window.partitionBy("kind").orderBy("_u", "_h")
+    small = near.select("kind", "_u", "_h", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_b"))
+    ranked = small.withColumn("_r", F.row_number().over(order)).withColumn("_s", F.sum("_b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = ranked.filter((F.col("_r") <= below) & (F.col("_s") <= most_bytes)).select("kind", "_u", "_h")
+    return counts, near.join(kept, ["kind", "_u", "_h"]).select("id", "kind", "text")
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
