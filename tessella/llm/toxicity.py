@@ -1,46 +1,50 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text of
-a bounded labelled sample.  A text is cut, at word ends, into windows of about
-`WINDOW` bytes; each window is compressed with either dictionary, and the
-difference of the two lengths says which kind of text it resembles.  The
-dictionaries are trained on one half of the sample.  On its other half the
-thresholds are calibrated: how many windows differ by at least so many bytes, and
-what share of all, is turned into a probability by logistic regression, in which
-each document counts for all those that the sample drew it from.
-
-Both dictionaries end with the same ordinary part, so that ordinary words cost
-the same with either, and the toxic part holds segments of words that are much
-commoner in toxic than in ordinary documents.
+Two zstandard dictionaries are trained on whole texts of a bounded labelled sample,
+one on ordinary and one on toxic texts.  A text is cut, at word ends, into windows of
+about `WINDOW` bytes.  Each window is compressed twice: after the ordinary dictionary,
+and after the toxic dictionary followed by the ordinary one.  The second can only be
+shorter where the window resembles toxic text more than ordinary text, so ordinary
+words cost the same either way.  Both are loaded as trained dictionaries, with the
+entropy tables of the ordinary one, and the optimal parser makes lengths comparable.
+
+The dictionaries are trained on one half of the sample.  On its other half two
+thresholds are calibrated: how many bytes a window must gain to count, and what share
+of counting windows goes with which probability of the label toxic (an isotonic
+regression, in which a text counts for all those that the sample drew it from).
 
 Null and empty texts are one empty window.  Repeated rows get equal scores, extra
-columns are ignored.  Without labelled rows of both classes every score is 0.
+columns are ignored.  Where either class has too few labelled texts for zstandard to
+train on, every score is the share of toxic documents among the labelled (0 if none).
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import worker_cache
+from tessella.llm.shared import bounded_sample, worker_cache
 
 #: Bytes of a window; it ends at the last word end before.
-WINDOW = 48
-#: Thresholds on the difference of compressed lengths, in bytes.
-STEPS = (1, 2, 3, 4, 5, 6, 8)
-#: Bytes of the toxic part and of the common ordinary part of a dictionary.
-TOXIC_BYTES, ORDINARY_BYTES = 1536, 40_000
+WINDOW = 64
+#: Gains in bytes among which the threshold is calibrated.
+GAINS = (1, 2, 3, 4, 5, 6, 8)
+#: A share of windows is counted out of so many more.
+SHRINK = 10
+#: Bytes of the dictionaries, at most one part of so many of their text; and bytes of a training sample.
+TOXIC_BYTES, ORDINARY_BYTES, PART_OF_TEXT, SAMPLE = 8192, 112_640, 8, 400
+#: The compression level of the optimal parser.
+LEVEL = 16
 
 
 def normal(text: str | None) -> bytes:
     """UTF-8 with A-Z lower-cased, words preceded by one space each."""
-    return b"".join(b" " + w for w in (text or "").encode().lower().split())
+    return b"".join(b" " + w for w in (text or "").encode("utf-8", "replace").lower().split())
 
 
 def windows(data: bytes, size: int = WINDOW) -> list[bytes]:
@@ -56,126 +60,130 @@ def windows(data: bytes, size: int = WINDOW) -> list[bytes]:
     return out or [b""]
 
 
-def _compressor(content: bytes):
-    params = zstandard.ZstdCompressionParameters.from_level(3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-    book = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    book.precompute_compress(compression_params=params)
-    return zstandard.ZstdCompressor(dict_data=book, compression_params=params).compress
+def _loaded(book: bytes) -> zstandard.ZstdCompressor:
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    told = zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_FULLDICT)
+    told.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=told, compression_params=params)
+
+
+def header_size(book: bytes) -> int:
+    """Bytes of a trained dictionary before its content: the shortest prefix that loads has 8 bytes of content."""
+
+    def loads(n: int) -> bool:
+        try:
+            _loaded(book[:n])
+        except zstandard.ZstdError:
+            return False
+        return True
+
+    low, high = 8, len(book)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if loads(middle) else (middle + 1, high)
+    return low - 8
 
 
 @dataclass
 class Model:
-    """Dictionary contents and calibration; small, so it travels with the tasks."""
+    """Dictionaries and thresholds; small, so it travels with the tasks."""
 
     ordinary: bytes = b""
-    toxic: bytes = b""
-    mean: np.ndarray | None = None
-    scale: np.ndarray | None = None
-    weights: np.ndarray | None = None
+    both: bytes = b""  # the toxic content before the ordinary one
+    gain: int = 0
+    shares: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    chances: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
     def __post_init__(self):
         self._pair = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_pair"} | {"_pair": None}
+        return self.__dict__ | {"_pair": None}
 
-    def features(self, text: str | None) -> list[float]:
-        """Counts and shares of windows by threshold, from the whole text."""
+    def gains(self, text: str | None) -> np.ndarray:
+        """Bytes by which the toxic dictionary shortens each window of the whole text."""
         if self._pair is None:
-            self._pair = _compressor(self.ordinary), _compressor(self.toxic)
+            self._pair = _loaded(self.ordinary).compress, _loaded(self.both).compress
         plain, toxic = self._pair
-        gap = np.array([len(plain(w)) - len(toxic(w)) for w in windows(normal(text))])
-        over = [int((gap >= s).sum()) for s in STEPS]
-        return [*[n / (len(gap) + 3) for n in over], float(np.clip(gap, -2, 8).mean()), math.log(len(gap)), float(gap.max()), *[math.log1p(n) for n in over[1:6:2]]]
+        return np.array([len(plain(w)) - len(toxic(w)) for w in windows(normal(text))])
 
     def score(self, text: str | None) -> float:
-        if self.weights is None:
-            return 0.0
-        x = (np.array(self.features(text)) - self.mean) / self.scale
-        z = float(x @ self.weights[:-1] + self.weights[-1])
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
-
-
-def _train(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary's content, or the samples themselves where they are too few to train on."""
+        if not self.both:
+            return float(self.chances[0])
+        return float(np.interp(share(self.gains(text), self.gain), self.shares, self.chances))
+
+
+def share(gains: np.ndarray, least: int) -> float:
+    """Share of windows that gain at least so much."""
+    return float((gains >= least).sum()) / (len(gains) + SHRINK)
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The nondecreasing step function of x nearest to y: knots, values, and the weighted mean square it is off."""
+    at, where = np.unique(x, return_inverse=True)
+    total = np.bincount(where, weight)
+    blocks: list[list[float]] = []  # first x, last x, weight, weighted sum
+    for v, w, s in zip(at, total, np.bincount(where, weight * y), strict=True):
+        blocks.append([v, v, w, s])
+        while len(blocks) > 1 and blocks[-2][3] * blocks[-1][2] >= blocks[-1][3] * blocks[-2][2]:
+            _, last, w2, s2 = blocks.pop()
+            blocks[-1][1], blocks[-1][2], blocks[-1][3] = last, blocks[-1][2] + w2, blocks[-1][3] + s2
+    knots = np.array([k for b in blocks for k in b[:2]])
+    values = np.array([v for b in blocks for v in [b[3] / b[2]] * 2])
+    off = np.average((np.interp(x, knots, values) - y) ** 2, weights=weight)
+    return knots, values, float(off)
+
+
+def _trained(texts: list[bytes], most: int, segment: int) -> bytes | None:
+    """A dictionary of whole texts, or None where zstandard has too little to train on."""
+    pieces = [w for t in texts for w in windows(t, SAMPLE)]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(max(256, min(most, sum(map(len, pieces)) // PART_OF_TEXT)), pieces, d=6, k=segment).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 0.01) -> np.ndarray:
-    """Weights of an L2-regularised logistic regression by Newton's method over rows that stand for `counts` rows each; the last is the constant."""
-    counts = counts / counts.sum()
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    keep = np.r_[np.ones(len(w) - 1), 0]
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        hess = (x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(ridge * keep + 1e-9)
-        w -= np.linalg.solve(hess, x.T @ (counts * (p - y)) + ridge * keep * w)
-    return w
+        return None
 
 
-def train(rows: list[tuple[str | None, int]], share: dict[int, float], sample_windows: int = 60_000) -> Model:
-    """Fit dictionaries on every other document of each class, calibrate on the rest.
+def train(rows: list[tuple[str | None, int]], counts: dict[int, int] | None = None) -> Model:
+    """Fit dictionaries on one half of the distinct texts of each class, calibrate on the other.
 
-    `share` is the part of each class that was drawn; a row counts for the rows it
-    stands for, so probabilities are those of all labelled documents.  The
-    dictionaries are trained on `sample_windows` pieces a class at most, drawn evenly
-    from all places of whole texts.
+    `counts` has the labelled rows of each class that the rows stand for.
     """
-    by = {k: [t for t, y in rows if y == k] for k in (0, 1)}
-    if not by[0] or not by[1]:
-        return Model()
-    books = {k: [normal(t) for t in (v[::2])] for k, v in by.items()}
-    seen = {k: Counter(w for b in v for w in set(b.split())) for k, v in books.items()}
-    n = {k: len(v) for k, v in books.items()}
-    least = max(4, n[1] // 200)
-    marked = {w for w, c in seen[1].items() if c >= min(least, n[1]) and seen[0][w] / n[0] < 0.05 * c / n[1]}
-    bad = [b" " + w + b" " for b in books[1] for w in b.split() if w in marked]
-    bad = [b"".join(bad[i : i + 4]) for i in range(0, len(bad), 4)]
-    plain = [w for b in books[0] for w in windows(b, 76)]
-    rng = np.random.default_rng(0)
-    plain = [plain[i] for i in rng.permutation(len(plain))[:sample_windows]]
-    bad = [bad[i] for i in rng.permutation(len(bad))[:sample_windows]]
-    common = _train(plain, ORDINARY_BYTES)
-    own = _train(bad, TOXIC_BYTES) if bad else b""
-    fill = b"".join(plain[-200:])[: len(own)]
-    model = Model(fill + common, own + common)
-    held = [(t, y) for y, v in by.items() for t in (v[1::2] or v)]
-    x = np.array([model.features(t) for t, _ in held])
-    counts = np.array([1 / share[y] for _, y in held])
-    model.mean = np.average(x, axis=0, weights=counts)
-    model.scale = np.sqrt(np.average((x - model.mean) ** 2, axis=0, weights=counts)) + 1e-9
-    model.weights = _logistic((x - model.mean) / model.scale, np.array([y for _, y in held], dtype=float), counts)
+    by = {k: sorted({t or "" for t, y in rows if y == k}) for k in (0, 1)}
+    counts = counts or {k: sum(y == k for _, y in rows) for k in (0, 1)}
+    rate = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+    half = {k: [[t for t in v if zlib.crc32(t.encode("utf-8", "replace")) % 2 == part] for part in (0, 1)] for k, v in by.items()}
+    ordinary = _trained([normal(t) for t in half[0][0]], ORDINARY_BYTES, 32)
+    toxic = _trained([normal(t) for t in half[1][0]], TOXIC_BYTES, 16)
+    if ordinary is None or toxic is None or not half[0][1] or not half[1][1]:
+        return Model(chances=np.array([rate]))
+    cut = header_size(ordinary)
+    model = Model(ordinary, ordinary[:cut] + toxic[header_size(toxic) :] + ordinary[cut:])
+    held = [(model.gains(t), k) for k in (0, 1) for t in half[k][1]]
+    y = np.array([k for _, k in held], dtype=float)
+    weight = np.array([counts[k] / len(half[k][1]) for _, k in held])
+    tried = [(isotonic(np.array([share(g, least) for g, _ in held]), y, weight), least) for least in GAINS]
+    (model.shares, model.chances, _), model.gain = min(tried, key=lambda t: t[0][2])
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn_from: Column | None = None, sample_toxic: int = 3000, sample_ordinary: int = 6000, sample_windows: int = 60_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn_from: Column | None = None, sample_toxic: int = 3000, sample_ordinary: int = 6000, sample_bytes: int = 24_000_000) -> Model:
     """Train on a sample of labelled documents.
 
-    `sample_toxic` and `sample_ordinary` bound what reaches the driver: rows are
-    drawn by a hash of the id, at rates from the class counts over all labels.
-    `sample_windows` is the most pieces of their whole texts, for each class, that
-    the dictionaries are trained on.
+    `sample_toxic` and `sample_ordinary` bound the labels that are looked up and the
+    rows that reach the driver, `sample_bytes` the bytes of each class's whole texts.
     `learn_from` is a condition on the id column; a document with several labels
     counts as toxic if any says so.
     """
     tags = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if learn_from is not None:
         tags = tags.filter(learn_from)
-    tags = tags.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
-    counts = {r.y: r.n for r in tags.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        return Model()
-    share = {y: min(1.0, most / counts[y]) for y, most in ((0, sample_ordinary), (1, sample_toxic))}
-    draw = F.pmod(F.xxhash64("id", F.lit("toxicity sample")), F.lit(1 << 30)) / float(1 << 30)
-    picked = tags.filter(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    tags = tags.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("kind")).withColumn("text", F.lit(None).cast("string"))
+    most = {0: sample_ordinary, 1: sample_toxic}
+    counts, drawn = bounded_sample(tags, most, 0, "toxicity labels")
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    got = text.join(F.broadcast(picked), "id").collect()  # at most about sample_toxic + sample_ordinary small rows are broadcast
-    got.sort(key=lambda r: (r.id, r.text or ""))
-    return train([(r.text, r.y) for r in got], share, sample_windows)
+    found = text.join(F.broadcast(drawn.select("id", "kind")), "id")  # at most sample_toxic + sample_ordinary rows are broadcast
+    _, sample = bounded_sample(found.select("id", "kind", "text"), most, sample_bytes, "toxicity sample")
+    return train([(r.text, r.kind) for r in sample.collect()], counts)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, toxicity
 from tessella.llm.entries import QUERIES
-from tessella.llm.shared import fold
+from tessella.llm.shared import bounded_sample, fold
 
 SF = "/root/testdata/sf0.01"
 
@@ -52,34 +53,93 @@ def test_toxicity_of_held_out_documents(spark):
 
 
 def test_toxicity_edge_cases(spark):
-    docs = spark.createDataFrame([(1, "fine words here"), (2, "awful awful awful"), (3, None), (4, ""), (5, "w" * 100000), (1, "fine words here")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, 0), (2, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1, "fine words here"), (2, "awful awful awful"), (3, None), (4, ""), (5, "w" * 100000), (1, "fine words here"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    got = toxicity.score(docs.withColumn("score", F.lit("clash")), model).collect()
-    assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
-    assert len({r.score for r in got if r.doc_id == 1}) == 1
+    got = toxicity.score(docs.withColumn("score", F.lit("clash")).withColumn("kind", F.lit(1)), model).collect()
+    assert len(got) == 7 and all(abs(r.score - 1 / 3) < 1e-9 for r in got)  # too few to train on: the share of toxic documents
     none = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+    big = toxicity.fit(*tables(spark, 400))
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, big).collect()}
+    assert scores[3] == scores[4] and all(0 <= x <= 1 for x in scores.values())
 
 
-def test_toxicity_does_not_depend_on_the_rates_of_the_sample(spark):
+def tables(spark, n, words=("river stone cloud paper field glass", "vile nasty awful")):
+    """Documents and labels; every tenth has words of the second kind in every other place."""
     rnd = random.Random(3)
-    rows = [(i, " ".join(rnd.choice("river stone cloud paper field glass".split()) for _ in range(12)), int(i % 10 == 0)) for i in range(3000)]
+    rows = []
+    for i in range(n):
+        told = [rnd.choice(words[0].split()) for _ in range(30)]
+        if i % 10 == 0:
+            told[::2] = [rnd.choice(words[1].split()) for _ in range(15)]
+        rows.append((i, " ".join(told), int(i % 10 == 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return df.select("doc_id", "text"), df.select("doc_id", "toxic")
+
+
+def test_toxicity_does_not_depend_on_the_rates_of_the_sample(spark):
+    docs, labels = tables(spark, 3000, ("river stone cloud paper field glass",) * 2)
     for sample in ({}, {"sample_toxic": 150, "sample_ordinary": 300}):
-        model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), **sample)
-        scores = [model.score(t) for _, t, _ in rows]
+        model = toxicity.fit(docs, labels, **sample)
+        scores = [model.score(r.text) for r in docs.collect()]
         assert abs(sum(scores) / len(scores) - 0.1) < 0.03  # texts say nothing here, so scores are the share of toxic documents
 
 
-def test_dictionary_has_words_from_late_in_long_texts():
-    rnd = random.Random(4)
-    words = lambda names, n: " ".join(rnd.choice(names) for _ in range(n))
-    early, late = "river stone cloud paper field glass".split(), "lantern harbour cabinet meadow".split()
-    rows = [(words(early, 1500) + " " + words(late, 1500), 0) for _ in range(20)] + [(words(["vile", "nasty"], 200), 1) for _ in range(20)]
-    model = toxicity.train(rows, {0: 1.0, 1: 1.0})
-    assert all(w.encode() in model.ordinary for w in early + late)
+def test_one_id_with_many_rows_does_not_exceed_the_samples(spark):
+    docs, labels = tables(spark, 600)
+    hot = spark.range(20000).select(F.lit(7).cast("bigint").alias("doc_id"), F.concat(F.lit("river stone cloud "), F.col("id").cast("string")).alias("text"))
+    docs = docs.union(hot)
+    rows = docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), F.col("toxic").alias("kind"), "text")
+    counts, drawn = bounded_sample(rows, {0: 300, 1: 50}, 1_000_000, "x")
+    by = {r.kind: r["count"] for r in drawn.groupBy("kind").count().collect()}
+    assert counts == {0: 20540, 1: 60} and by == {0: 300, 1: 50}
+    assert bounded_sample(rows, 10**6, 5000, "x")[1].groupBy("kind").agg(F.sum(F.length("text"))).agg(F.max("sum(length(text))")).first()[0] <= 5000
+    same = docs.limit(1).crossJoin(spark.range(20000)).select("doc_id", "text").union(docs.limit(50))
+    assert bounded_sample(same.select(F.col("doc_id").alias("id"), F.lit("a").alias("kind"), "text"), 40, 10**6, "x")[1].count() == 40
+    model = toxicity.fit(docs, labels, sample_toxic=60, sample_ordinary=2000)
+    assert model.score("vile nasty awful " * 5) > 0.5 > model.score("river stone paper " * 5)
+    named = hot.withColumn("lang", F.lit("en")).union(spark.createDataFrame([(i, "der hund und die katze und das haus " + str(i), "de") for i in range(30)], "doc_id long, text string, lang string"))
+    model = langid.fit(named, sample_docs=400)
+    assert [p[0] for p in model.predict(["stone cloud river", "die katze und der hund"])] == ["en", "de"]
+
+
+def test_score_by_brute_force(spark):
+    """The lengths by separate frames of a plain compressor, the share and the steps in plain Python."""
+    docs, labels = tables(spark, 400)
+    model = toxicity.fit(docs, labels)
+    import zstandard
+
+    def length(book, window):
+        made = zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(book), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(made.compress(window))
+
+    for r in toxicity.score(docs, model).limit(40).collect():
+        words, cut = toxicity.normal(r.text), []
+        while words:
+            at = words[: toxicity.WINDOW].rfind(b" ", 1) if len(words) > toxicity.WINDOW else -1
+            at = at if at > 0 else toxicity.WINDOW
+            cut.append(words[:at])
+            words = words[at:]
+        share = sum(length(model.ordinary, w) - length(model.both, w) >= model.gain for w in cut) / (len(cut) + toxicity.SHRINK)
+        below = max(i for i, x in enumerate(model.shares) if x <= share) if share >= model.shares[0] else 0
+        above = min(below + 1, len(model.shares) - 1)
+        gap = model.shares[above] - model.shares[below]
+        want = model.chances[below] + (model.chances[above] - model.chances[below]) * ((share - model.shares[below]) / gap if gap else 0)
+        assert abs(r.score - min(max(want, model.chances[0]), model.chances[-1])) < 1e-9
+
+
+def test_isotonic_steps():
+    rnd = np.random.default_rng(5)
+    x, y, w = rnd.integers(0, 6, 60).astype(float), rnd.integers(0, 2, 60).astype(float), rnd.integers(1, 4, 60).astype(float)
+    knots, values, off = toxicity.isotonic(x, y, w)
+    assert (np.diff(values) >= 0).all() and (np.diff(knots) >= 0).all()
+    mean = lambda a, b: np.average(y[(x >= a) & (x <= b)], weights=w[(x >= a) & (x <= b)])
+    at = np.unique(x)
+    for v in at:  # the known form: the greatest over starts of the least over ends of means
+        want = max(min(mean(a, b) for b in at if b >= v) for a in at if a <= v)
+        assert abs(np.interp(v, knots, values) - want) < 1e-9
 
 
 def test_windows_cover_the_whole_text():
