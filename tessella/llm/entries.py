@@ -85,8 +85,10 @@ def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates at which all documents are to be used, so that languages have their target shares of tokens."""
-    return mixing.mix(documents(spark, sf_dir), labelled_languages(spark, sf_dir), MIX_TARGETS)
+    """Rates at which all documents are to be used, so that languages have their target shares of tokens; and the totals aimed at and reached."""
+    mix = mixing.mix(documents(spark, sf_dir), labelled_languages(spark, sf_dir), MIX_TARGETS)
+    totals = [F.lit(x[d]).alias(f"{name}_{d}") for name, x in (("target", mix.targets), ("reached", mix.reached)) for d in sorted(MIX_TARGETS)]
+    return mix.rates.select("*", *totals)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,26 +55,62 @@ def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     tags = docs.filter("doc_id % 3 = 0").select("doc_id", F.col("lang").alias("domain"))
     targets = {"en": 0.25, "de": 0.25, "fr": 0.25, "es": 0.25}
-    got = mixing.mix(docs, tags, targets).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    got = mixing.mix(docs, tags, targets).rates.join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(got) == docs.count()
     assert sum(r.domain == r.lang for r in got) / len(got) > 0.97
     totals = np.array([sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in got) for d in sorted(targets)])
     assert np.abs(totals / totals.sum() - 0.25).max() < 1e-3
     copied = np.array([sum(r.copies * r.n_tokens * r[f"p_{d}"] for r in got) for d in sorted(targets)])
     assert np.abs(copied / copied.sum() - 0.25).max() < 0.06
-    once = mixing.mix(docs, tags, targets, lowest=1.0).collect()
+    once = mixing.mix(docs, tags, targets, lowest=1.0).rates.collect()
     assert min(r.copies for r in once) >= 1
 
 
 def test_edge_cases(spark):
     rows = [(1, "a b c", "x"), (2, None, "y"), (3, "", None), (4, "q " * 50000, "x"), (5, "d e f", "y"), (1, "a b c", "x"), (None, "a b", "y"), (6, "a", "unknown")]
     docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, domain string, rate int")
-    got = mixing.mix(docs, docs, {"x": 1, "y": 2, "z": 1}).collect()
+    got = mixing.mix(docs, docs, {"x": 1, "y": 2, "z": 1}).rates.collect()
     assert len(got) == len(rows)
     assert all(abs(r.p_x + r.p_y + r.p_z - 1) < 1e-9 and r.rate >= 0 and r.copies >= 0 for r in got)
     assert len({(r.rate, r.p_x) for r in got if r.doc_id == 1}) == 1
-    assert mixing.mix(docs.limit(0), docs, {"x": 1}).count() == 0
-    assert mixing.mix(docs, docs.limit(0), {"x": 1, "y": 1}).count() == len(rows)
+    assert mixing.mix(docs.limit(0), docs, {"x": 1}).rates.count() == 0
+    assert mixing.mix(docs, docs.limit(0), {"x": 1, "y": 1}).rates.count() == len(rows)
+
+
+def test_a_rare_domain_is_not_repeated_without_bound(spark):
+    rnd = np.random.default_rng(7)
+    word = lambda names: " ".join(rnd.choice(names, 20))
+    rows = [(i, word(["the", "of", "house", "water"]), "en") for i in range(2000)] + [(9000 + i, word(["casa", "agua", "perro", "gato"]), "es") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    mix = mixing.mix(docs, docs, {"en": 1, "es": 1}, lowest=1.0, most=4.0)
+    got = mix.rates.collect()
+    assert max(r.copies for r in got) <= 4 and min(r.copies for r in got) >= 1 and sum(r.copies for r in got) <= 4 * len(got)
+    assert mix.missed > 0.4 and mix.reached["es"] < 0.02 * mix.targets["es"]  # said, not hidden
+    assert mixing.mix(docs, docs, {"en": 1, "es": 1}).missed < 1e-3
+
+
+def test_temperature_makes_held_out_labels_likeliest(spark):
+    """Words repeat in pairs, so naive Bayes counts everything twice; brute force over the grid finds the same temperature."""
+    rnd = np.random.default_rng(8)
+    rows = []
+    for i in range(1500):
+        kind = "xy"[rnd.integers(2)]
+        told = rnd.choice([f"w{k}" for k in range(20)], 8, p=np.r_[np.full(10, 0.06 if kind == "x" else 0.04), np.full(10, 0.04 if kind == "x" else 0.06)])
+        rows.append((i, " ".join(f"{w}a {w}b {w}c {w}d" for w in told), kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    model = mixing.train(docs, docs, ["x", "y"])
+    assert 2 <= model.temperature <= 16
+    raw = {r.id: (r.s0, r.s1) for r in model.likelihoods(docs, "doc_id", "text").collect()}
+    pick = docs.filter(F.pmod(F.xxhash64("text", F.lit("held out")), F.lit(mixing.HELD_OUT)) == 0).collect()
+
+    def loss(t):
+        out = 0
+        for r in pick:
+            z = [s / t + p for s, p in zip(raw[r.doc_id], model.priors, strict=True)]
+            out += np.logaddexp(*z) - z["xy".index(r.domain)]
+        return out
+
+    assert model.temperature == min(mixing.TEMPERATURES, key=loss)
 
 
 def test_plan_has_no_python(spark):
