@@ -70,8 +70,8 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an image in tar shards, read the stored bytes back, and return digests and features."""
-    rows = media.store(documents(spark, sf_dir))
-    return media.read_back(rows).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    told = media.describe(media.store(documents(spark, sf_dir)))
+    return told.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "channels")
 
 
 #: Target shares of the languages' tokens.

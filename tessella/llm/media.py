@@ -2,11 +2,13 @@
 
 Payloads are stored as lossless 8-bit greyscale PNG images, 64 samples wide, one
 tar member each, named by the SHA-256 of the payload.  Rows carry digest, shard,
-offset and length; a member is stored once per writing task, so thousands of
-copies of a payload cost one member there, without moving any payload between
-tasks.  :func:`catalogue` picks one place for each digest of a whole table.
-:func:`probe` fills metadata columns from the 33 bytes of a header;
-:func:`read_back` decodes members and computes features.
+offset and length.  A task stores a payload once, so thousands of copies cost one
+member there, without moving any payload between tasks; :func:`catalogue` then picks
+one place for each digest of the whole table, and members that other tasks have
+stored beside it are never read.  :func:`probe` fills metadata columns of the places
+from the 33 bytes of a header by range reads; :func:`read_back` decodes the members and
+computes features.  Both deal places to tasks by the bytes of their members, in the
+order of the shards.  :func:`describe` does all that and gives each row what its digest has.
 
 A payload is the text's UTF-8 (null: none) padded with zero bytes to a positive
 multiple of 64.  Null and empty texts share a payload of 64 zeros.  Repeated rows
@@ -32,6 +34,8 @@ from tessella.llm.shared import RangeReader, durable, fresh_dir, open_sink
 WIDTH = 64
 #: A shard is closed and another begun beyond this size.
 SHARD_BYTES = 1 << 30
+#: Bytes of members that a reading task is dealt.
+READ_BYTES = 64 << 20
 #: The PNG signature and the bytes up to the end of its first chunk.
 PNG_SIGNATURE, HEADER_BYTES = b"\x89PNG\r\n\x1a\n", 33
 
@@ -48,7 +52,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode_png(payload: bytes, level: int = 3) -> bytes:
+def encode_png(payload: bytes, level: int = 6) -> bytes:
     """Greyscale PNG with 8-bit samples, rows of 64, no row filter; the same payload always gives the same bytes."""
     rows = len(payload) // WIDTH
     lines = np.zeros((rows, WIDTH + 1), dtype=np.uint8)
@@ -198,6 +202,24 @@ def read_back(rows: DataFrame) -> DataFrame:
     return _ranges(rows, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", None, derive)
 
 
+def dealt(places: DataFrame, task_bytes: int = READ_BYTES) -> DataFrame:
+    """Places in tasks of about `task_bytes` bytes of members each, in the order of shard and offset."""
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    return places.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
+def describe(rows: DataFrame, *, task_bytes: int = READ_BYTES) -> DataFrame:
+    """Rows of :func:`store` with what their stored members hold: header metadata, digests read back, features.
+
+    Each digest's member is probed and read once.  The join on the digest moves rows
+    and features only; the optimiser splits a digest that very many rows have.
+    """
+    places = durable(catalogue(rows.select("digest", "shard", "offset", "length")).drop("n_rows"), "media-places")
+    told = durable(read_back(probe(dealt(places, task_bytes))).drop("shard", "offset", "length"), "media-told")
+    return rows.drop(*[c for c in told.columns if c != "digest"], "shard", "offset", "length").join(told, "digest")
+
+
 def members(uri: str) -> list[str]:
     """Names in a shard, by the standard library's reader of tar files."""
     reader = RangeReader(uri)
