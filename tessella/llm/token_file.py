@@ -11,7 +11,7 @@ table of 64-bit offsets.
 Layout: ids; Elias-Fano sections of boundaries and of document ids; a JSON footer;
 its length (4 bytes); magic.  Files are in ascending order of document id, and
 inside a file the documents are; rows without an id come first, and rows of the
-same id are in the order of their texts.  Null texts count as empty.  Empty
+same id are in the order of a hash of their texts.  Null texts count as empty.  Empty
 documents have only the end id; a table without rows has no files.
 """
 
@@ -34,8 +34,10 @@ from tessella.llm.shared import RangeReader, durable, fresh_dir, open_sink, work
 MAGIC = b"TSEF1\n"
 #: Ones between two entries of the select directory.
 STRIDE = 512
-#: Ids that a reader holds at a time, at least one document.
-READ_IDS = 2_000_000
+#: Ids and documents that a reader holds at a time, at least one document; values that are packed at a time.
+READ_IDS, READ_DOCS, BLOCK = 2_000_000, 1 << 16, 1 << 13
+#: Bytes of text that a file holds the ids of.
+FILE_BYTES = 24 << 20
 
 
 class EliasFano:
@@ -51,8 +53,9 @@ class EliasFano:
         if not n:
             return cls(0, 0, b"", b"", np.zeros(0, dtype="<u4"))
         width = max(0, (int(v[-1]) // n).bit_length() - 1)
-        bits = (v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+        low = b"".join(  # blocks of a multiple of 8 values, so each ends with a byte
+            np.packbits(((v[i : i + BLOCK, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes() for i in range(0, n, BLOCK)
+        )
         ones = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
         flags = np.zeros(int(ones[-1]) + 1, dtype=np.uint8)
         flags[ones] = 1
@@ -76,15 +79,30 @@ class EliasFano:
         chunk = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8], "little") >> first % 8
         return (one - i) << self.low_bits | chunk & (1 << self.low_bits) - 1
 
-    def all(self) -> np.ndarray:
-        if not self.count:
+    def between(self, start: int, end: int) -> np.ndarray:
+        """The values at indexes from `start` to before `end`: one select finds the first, the bits from there on the rest."""
+        n = min(end, self.count) - start
+        if n <= 0:
             return np.zeros(0, dtype=np.int64)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, dtype=np.uint8), bitorder="little"))[: self.count]
-        high = ones - np.arange(self.count)
-        bits = np.unpackbits(np.frombuffer(self.low, dtype=np.uint8), bitorder="little")[: self.count * self.low_bits]
-        low = bits.reshape(self.count, self.low_bits).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+        first = (self.select(start) >> self.low_bits) + start  # the bit of the first value
+        last = (self.select(start + n - 1) >> self.low_bits) + start + n - 1
+        byte = first // 8
+        flags = np.unpackbits(np.frombuffer(self.high, dtype=np.uint8, count=last // 8 - byte + 1, offset=byte), bitorder="little")
+        ones = np.flatnonzero(flags[: last - 8 * byte + 1])
+        high = ones[ones >= first - 8 * byte] + 8 * byte - np.arange(start, start + n)
+        at, end_bit = start * self.low_bits, (start + n) * self.low_bits
+        bits = np.unpackbits(np.frombuffer(self.low[at // 8 : (end_bit + 7) // 8], dtype=np.uint8), bitorder="little")[at % 8 : at % 8 + n * self.low_bits]
+        low = bits.reshape(n, self.low_bits).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
         return (high.astype(np.int64) << self.low_bits) | low
 
+    def last_at_most(self, value: int, start: int) -> int:
+        """The greatest index from `start` on whose value is `value` or less, by selects."""
+        low, high = start, self.count - 1
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if self.select(middle) <= value else (low, middle - 1)
+        return low
+
     def parts(self) -> list[bytes]:
         return [self.low, self.high, self.directory.tobytes()]
 
@@ -146,7 +164,13 @@ class Reader:
         return self.bounds.count - 1
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.foot["nulls"] + [int(x) + self.foot["base"] for x in self._docs.all()]
+        return self.names(0, len(self))
+
+    def names(self, start: int, end: int) -> list[int | None]:
+        """Document ids from index `start` to before `end`."""
+        nulls = self.foot["nulls"]
+        known = self._docs.between(max(0, start - nulls), max(0, end - nulls))
+        return [None] * max(0, min(end, nulls) - start) + [int(x) + self.foot["base"] for x in known]
 
     def _ids(self, start: int, end: int) -> np.ndarray:
         width = self.foot["id_bytes"]
@@ -157,14 +181,17 @@ class Reader:
         return self._ids(self.bounds.select(i), self.bounds.select(i + 1))
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(document id, start in the file, ids) of all documents, in blocks of `READ_IDS`."""
-        ends, names = self.bounds.all(), self.doc_ids()
+        """(document id, start in the file, ids) of all documents, in blocks of `READ_IDS` ids and `READ_DOCS` documents.
+
+        Selects find where a block ends and its documents' offsets, so no table of all offsets is made.
+        """
         i, n = 0, len(self)
         while i < n:
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + READ_IDS, side="right")) - 1)
-            block = self._ids(int(ends[i]), int(ends[j]))
-            for k in range(i, j):
-                yield names[k], int(ends[k]), block[ends[k] - ends[i] : ends[k + 1] - ends[i]]
+            j = min(n, i + READ_DOCS, max(i + 1, self.bounds.last_at_most(self.bounds.select(i) + READ_IDS, i)))
+            ends, names = self.bounds.between(i, j + 1), self.names(i, j)
+            block = self._ids(int(ends[0]), int(ends[-1]))
+            for k in range(j - i):
+                yield names[k], int(ends[k]), block[ends[k] - ends[0] : ends[k + 1] - ends[0]]
             i = j
 
     def close(self) -> None:
@@ -222,34 +249,38 @@ def library_encoder(path: str) -> LibraryEncoder:
     return kept[path]
 
 
-def write(docs: DataFrame, vocabulary: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, files: int | None = None, encoder: Callable = library_encoder) -> DataFrame:
-    """Encode all texts and write them, in ascending order of id, to `files` token files.
+def write(docs: DataFrame, vocabulary: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, file_bytes: int = FILE_BYTES, encoder: Callable = library_encoder) -> DataFrame:
+    """Encode all texts and write them, in ascending order of id, to token files of the ids of about `file_bytes` bytes of text.
 
-    One shuffle ranges the texts by id; each task encodes and writes one file.
-    Returns a durable table with a row a file: uri, bytes, first_id, n_docs, n_ids.
+    One shuffle ranges the texts by id, and rows of one id by a hash of their text;
+    each task encodes and writes one file.
+    Returns a durable table with a row a file: uri, first_id, first_hash, n_docs, n_ids.
     """
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "tokens")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    files = max(spark.sparkContext.defaultParallelism, -(-total // file_bytes))
 
     def run(batches):
         import pandas as pd
 
-        tool, writer, first = encoder(vocabulary), None, None
+        tool, writer, first, mark = encoder(vocabulary), None, None, 0
         width = 2 if max(len(tool.bytes_of) - 1, end_id) < 1 << 16 else 4
         for batch in batches:
             names = [None if missing else int(x) for x, missing in zip(batch["id"], batch["id"].isna(), strict=True)]
             for name, packed in zip(names, tool.encode_packed(batch["text"].tolist()), strict=True):
                 if writer is None:
-                    writer, first = Writer(f"{folder}/part-{uuid.uuid4().hex}.tokens", width), name
+                    writer, first, mark = Writer(f"{folder}/part-{uuid.uuid4().hex}.tokens", width), name, int(batch["h"].iloc[0])
                 writer.add(name, np.append(np.frombuffer(packed, dtype="<u4"), np.uint32(end_id)))
         if writer:
             n_docs, n_ids = writer.close()
-            yield pd.DataFrame({"uri": [writer.uri], "first_id": pd.array([first], dtype="Int64"), "n_docs": [n_docs], "n_ids": [n_ids]})
+            yield pd.DataFrame({"uri": [writer.uri], "first_id": pd.array([first], dtype="Int64"), "first_hash": [mark], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    ranged = source.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return durable(ranged.mapInPandas(run, "uri string, first_id bigint, n_docs bigint, n_ids bigint"), "token-files")
+    keyed = source.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = F.col("id").asc_nulls_first(), F.col("h")
+    ranged = keyed.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
+    return durable(ranged.mapInPandas(run, "uri string, first_id bigint, first_hash bigint, n_docs bigint, n_ids bigint"), "token-files")
 
 
 def read(manifest: DataFrame, *, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
@@ -258,7 +289,7 @@ def read(manifest: DataFrame, *, id_col: str = "doc_id", keep_ids: bool = False)
     The manifest, a row a file, comes to the driver to add up where each file starts.
     """
     spark = manifest.sparkSession
-    rows = manifest.orderBy(F.col("first_id").asc_nulls_first()).collect()
+    rows = manifest.orderBy(F.col("first_id").asc_nulls_first(), "first_hash").collect()  # a row a file
     starts, total = [], 0
     for r in rows:
         starts.append((r.uri, total))

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import token_file
@@ -13,20 +14,41 @@ def test_elias_fano():
     for n, top in ((0, 1), (1, 0), (1, 10**12), (5, 3), (3000, 10), (3000, 10**9), (2000, 2**40)):
         v = np.sort(np.array([rnd.randrange(top + 1) for _ in range(n)], dtype=np.int64))
         code = token_file.EliasFano.build(v)
-        assert code.all().tolist() == v.tolist()
+        assert code.between(0, n).tolist() == v.tolist()
+        for i, j in ((0, 1), (n // 3, n // 2), (n // 2, n), (n, n + 5)):
+            assert code.between(i, j).tolist() == v[i:j].tolist()
+        if n:
+            for x in (int(v[0]), int(v[n // 2]), int(v[-1]) + 1):
+                assert code.last_at_most(x, 0) == int(np.searchsorted(v, x, side="right")) - 1
         for i in range(0, n, 7):
             assert code.select(i) == v[i]
         if n > 1000:
             assert sum(map(len, code.parts())) < n * (3 + max(0, np.log2(max(top, 1) / n))) / 8 + 64
 
 
+def test_small_blocks(spark, monkeypatch):
+    """Reading in blocks of few ids and documents gives the same, and no table of all offsets is made."""
+    rows = [(i // 2, f"word {i} " * (i % 40)) for i in range(300)]
+    manifest = token_file.write(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary(), end_id=2)
+    for r in manifest.collect():
+        reader = token_file.Reader(r.uri)
+        whole = [(d, at, ids.tolist()) for d, at, ids in reader.documents()]
+        monkeypatch.setattr(token_file, "READ_IDS", 50)
+        monkeypatch.setattr(token_file, "READ_DOCS", 7)
+        assert [(d, at, ids.tolist()) for d, at, ids in reader.documents()] == whole
+        assert [(d, ids) for d, _, ids in whole] == [(d, reader.document(i).tolist()) for i, d in enumerate(reader.doc_ids())]
+        monkeypatch.undo()
+
+
 def test_round_trip(spark):
     rows = [(5, "b b"), (None, "n"), (-3, None), (7, ""), (2**40, "big id"), (5, "a a"), (9, "long " * 4000)] + [(100 + i, f"doc {i}") for i in range(300)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int").repartition(5)
-    manifest = token_file.write(df, vocabulary(), end_id=2, files=6)
+    manifest = token_file.write(df, vocabulary(), end_id=2, file_bytes=5000)
     got = token_file.read(manifest, keep_ids=True).orderBy("start").collect()
     library = Tokenizer.from_file(vocabulary())
-    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    marks = {r[0]: r[1] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, marks[r[1]]))
+    assert manifest.count() > 2
     at = 0
     assert len(got) == len(want)
     for r, (doc, text) in zip(got, want, strict=True):
