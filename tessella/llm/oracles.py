@@ -39,18 +39,20 @@ def license_scan(cover: float = 0.8, slack: int = 2) -> str:
     """
 
 
-def url_filter(rules: list[str], depth: int = 3, min_children: int = 8, rows_per_child: float = 4.0, literal_share: float = 0.05, literal_rows: int = 20, smoothing: float = 5.0, z: float = 1.96, reject_at: float = 0.8) -> str:
-    """The template tree level by level, branches, and smoothed purity."""
+def url_filter(rules: list[str], levels: int = 3, min_children: int = 8, rows_per_child: float = 4.0, literal_share: float = 0.05, literal_rows: int = 20, smoothing: float = 5.0, z: float = 1.96, reject_at: float = 0.8, known_from: float = 0.5) -> str:
+    """The template tree level by level, merged siblings, and smoothed purity, for paths of `levels` segments at most.
+
+    It is written out level by level; the tables' paths have two segments, or three where they end in a slash.
+    """
     cases = []
     for line in sorted(rules, key=lambda x: -len(x.split()[1])):
         verdict, where = line.split()
         host, _, path = where.partition("/")
         cases.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')", where, verdict))
     case = lambda i: "CASE " + " ".join(f"WHEN {c[0]} THEN '{c[i]}'" for c in cases) + " END"
-    levels = ""
-    for n in range(1, depth + 1):
-        segment = f"array_to_string(parts[{n}:], '/')" if n == depth else f"parts[{n}]"
-        levels += rf""", s{n} AS (SELECT *, CASE WHEN len(parts) >= {n} THEN {segment} END AS seg FROM t{n - 1}),
+    tree, shapes = "", ""
+    for n in range(1, levels + 1):
+        tree += rf""", s{n} AS (SELECT *, CASE WHEN len(parts) >= {n} THEN parts[{n}] END AS seg FROM t{n - 1}),
             c{n} AS (SELECT host, template, seg, count(*) AS k FROM s{n} WHERE seg IS NOT NULL GROUP BY ALL),
             n{n} AS (SELECT host, template, count(*) AS kids, sum(k) AS total FROM c{n} GROUP BY ALL),
             l{n} AS (SELECT c.* FROM c{n} c JOIN n{n} USING (host, template)
@@ -59,20 +61,30 @@ def url_filter(rules: list[str], depth: int = 3, min_children: int = 8, rows_per
                 CASE WHEN s.seg IS NULL THEN s.template WHEN l.seg IS NOT NULL THEN s.template || '/' || s.seg
                 ELSE s.template || '/*' || regexp_extract(s.seg, '(\.[A-Za-z][A-Za-z0-9]{{0,4}})$', 1) END AS template
                 FROM s{n} s LEFT JOIN l{n} l ON s.host = l.host AND s.template = l.template AND s.seg = l.seg)"""
+        shapes += f""", e{n} AS (SELECT *, segs[{n}] AS branch, array_to_string(segs[{n + 1}:], '/') || '|' || len(segs) AS suffix FROM m{n - 1}),
+            f{n} AS (SELECT host, shape, branch, suffix, sum(n) AS cn, sum(lab) AS cl, sum(bad) AS cb FROM e{n} WHERE branch IS NOT NULL GROUP BY ALL),
+            g{n} AS (SELECT *, sum(cn) OVER (PARTITION BY host, shape, suffix) AS alike FROM f{n}),
+            w{n} AS (SELECT host, shape, sum(cn) AS whole, sum(cl) AS known, sum(cb) AS blocked, count(DISTINCT suffix) - 1 AS free FROM f{n} GROUP BY ALL),
+            b{n} AS (SELECT host, shape, branch, sum(cn) AS size, sum(cl) AS lab, sum(cb) AS bad, sum(cn * cn / alike) AS square FROM g{n} GROUP BY ALL),
+            r{n} AS (SELECT b.host, b.shape, b.branch, size < whole AND square * whole / size - size <= free + {z} * sqrt(2 * free) + 1e-9
+                AND (lab = 0 OR abs(bad / greatest(lab, 1) - blocked / greatest(known, 1))
+                    <= {z} * sqrt(blocked / greatest(known, 1) * (1 - blocked / greatest(known, 1)) / greatest(lab, 1)) + 1e-9) AS alike FROM b{n} b JOIN w{n} USING (host, shape)),
+            m{n} AS (SELECT e.host, e.template, e.segs, e.n, e.lab, e.bad, e.shape || CASE WHEN e.branch IS NULL THEN '' WHEN r.alike THEN '/~' ELSE '/' || e.branch END AS shape
+                FROM e{n} e LEFT JOIN r{n} r ON e.host = r.host AND e.shape = r.shape AND e.branch = r.branch)"""
     return rf"""
         WITH parsed AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         split AS (
             SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parsed
-        ), t0 AS (SELECT *, CASE WHEN path = '' THEN [] ELSE string_split(path, '/')[2:] END AS parts, '' AS template FROM split){levels},
-        ruled AS (SELECT page_id, host, path, template, {case(1)} AS rule, {case(2)} AS ruled FROM t{depth}),
-        own AS (
-            SELECT host, template, regexp_replace(template, '^/[^/]*/', '/*/') AS branch, count(*) AS n, count(ruled) AS lab, count(*) FILTER (WHERE ruled = 'block') AS bad
-            FROM ruled GROUP BY ALL
-        ), branches AS (SELECT host, branch, sum(lab) AS blab, sum(bad) AS bbad FROM own GROUP BY ALL),
-        hosts AS (SELECT host, sum(bad) / (sum(n) + {smoothing}) AS prior FROM own GROUP BY ALL),
-        rated AS (SELECT *, bbad / greatest(blab, 1) AS rate FROM own JOIN branches USING (host, branch) JOIN hosts USING (host)),
-        tested AS (SELECT *, lab > 0 AND abs(bad / greatest(lab, 1) - rate) <= {z} * sqrt(rate * (1 - rate) / greatest(lab, 1)) AS merged FROM rated),
-        pure AS (SELECT host, template, (CASE WHEN merged THEN bbad ELSE bad END + {smoothing} * prior) / (CASE WHEN merged THEN blab ELSE lab END + {smoothing}) AS purity FROM tested)
-        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {reject_at} THEN 'block' ELSE 'allow' END) AS verdict, template, purity
+        ), t0 AS (SELECT *, CASE WHEN path = '' THEN [] ELSE string_split(path, '/')[2:] END AS parts, '' AS template FROM split){tree},
+        ruled AS (SELECT page_id, host, path, parts, template, {case(1)} AS rule, {case(2)} AS ruled FROM t{levels}),
+        m0 AS (
+            SELECT host, template, CASE WHEN template = '' THEN [] ELSE string_split(template, '/')[2:] END AS segs, count(*) AS n, count(ruled) AS lab, count(*) FILTER (WHERE ruled = 'block') AS bad, '' AS shape
+            FROM ruled GROUP BY host, template
+        ){shapes},
+        pooled AS (SELECT host, shape, sum(lab) AS plab, sum(bad) AS pbad, sum(lab) / sum(n) AS known FROM m{levels} GROUP BY ALL),
+        overall AS (SELECT coalesce(sum(bad) / greatest(sum(lab), 1), 0) AS share FROM m{levels}),
+        hosts AS (SELECT host, (sum(bad) + {smoothing} * any_value(share)) / (sum(lab) + {smoothing}) AS prior FROM m{levels}, overall GROUP BY host),
+        pure AS (SELECT host, template, shape, known, (pbad + {smoothing} * prior) / (plab + {smoothing}) AS purity FROM m{levels} JOIN pooled USING (host, shape) JOIN hosts USING (host))
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {reject_at} AND known >= {known_from} THEN 'block' ELSE 'allow' END) AS verdict, template, shape, known, purity
         FROM ruled JOIN pure USING (host, template)
     """

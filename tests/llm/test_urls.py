@@ -25,55 +25,78 @@ def ruled(host, path):
     return best or (None, None)
 
 
-def brute(rows, depth=3):
-    """The tree, merging and purity over (key, url) rows, in plain Python."""
+def brute(rows):
+    """The tree, merging and purity over (key, url) rows, segment by segment, in plain Python."""
     work = []
     for _, url in rows:
         host, path = parse(url)
         parts = path.split("/") if path else []
-        work.append([host, path, parts[1:] if parts and parts[0] == "" else parts, ""])
-    for level in range(depth):
-        seg = [None if len(w[2]) <= level else "/".join(w[2][level:]) if level == depth - 1 else w[2][level] for w in work]
+        work.append([host, path, parts[1:] if parts and parts[0] == "" else parts, ()])
+    level = 0
+    while any(len(w[2]) > level for w in work):
         nodes = defaultdict(Counter)
-        for w, s in zip(work, seg, strict=True):
-            if s is not None:
-                nodes[w[0], w[3]][s] += 1
-        for w, s in zip(work, seg, strict=True):
-            if s is not None:
-                kids = nodes[w[0], w[3]]
+        for w in work:
+            if len(w[2]) > level:
+                nodes[w[0], w[3]][w[2][level]] += 1
+        for w in work:
+            if len(w[2]) > level:
+                kids, s = nodes[w[0], w[3]], w[2][level]
                 n = kids.total()
-                varies = len(kids) >= 8 and n < 4.0 * len(kids)
+                literal = not (len(kids) >= 8 and n < 4.0 * len(kids)) or kids[s] >= 20 and kids[s] >= 0.05 * n
                 ext = re.search(r"(\.[A-Za-z][A-Za-z0-9]{0,4})$", s)
-                literal = not varies or kids[s] >= 20 and kids[s] >= 0.05 * n
-                w.append(w[3] + "/" + (s if literal else "*" + (ext[0] if ext else "")))
-        for w in work:
-            if len(w) > 4:
-                w[3] = w.pop()
+                w[3] = (*w[3], s if literal else "*" + (ext[0] if ext else ""))
+        level += 1
     stat = defaultdict(lambda: [0, 0, 0])
     for w in work:
         w.append(ruled(w[0], w[1]))
-        s = stat[w[0], w[3]]
-        s[0] += 1
-        s[1] += w[4][1] is not None
-        s[2] += w[4][1] == "block"
+        for i, x in enumerate((1, w[4][1] is not None, w[4][1] == "block")):
+            stat[w[0], w[3]][i] += x
+    shape = {t: "" for t in stat}
+    for level in range(max((len(t) for _, t in stat), default=0)):
+        here = defaultdict(lambda: defaultdict(Counter))
+        for (h, t), s in stat.items():
+            if len(t) > level:
+                for i in range(3):
+                    here[h, shape[h, t]][t[level]][t[level + 1 :], i] += s[i]
+        new = {}
+        for (h, t), s in shape.items():
+            if len(t) <= level:
+                new[h, t] = s
+                continue
+            node = here[h, s]
+            total = Counter()
+            for b in node.values():
+                total.update(b)
+            of = lambda b, i: sum(v for (_, k), v in b.items() if k == i)
+            own, whole = node[t[level]], of(total, 0)
+            suffixes = [x for x, i in total if i == 0]
+            expected = {x: of(own, 0) * total[x, 0] / whole for x in suffixes}
+            chi = sum((own[x, 0] - e) ** 2 / e for x, e in expected.items())
+            free, rate = len(suffixes) - 1, of(total, 2) / max(of(total, 1), 1)
+            lab = of(own, 1)
+            like = len(node) > 1 and chi <= free + 1.96 * (2 * free) ** 0.5 + 1e-9 and (not lab or abs(of(own, 2) / lab - rate) <= 1.96 * (rate * (1 - rate) / lab) ** 0.5 + 1e-9)
+            new[h, t] = s + "/" + ("~" if like else t[level])
+        shape = new
+    pooled, hosts, everything = defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0]), [0, 0]
+    for (h, t), s in stat.items():
+        for i in range(3):
+            pooled[h, shape[h, t]][i] += s[i]
+        for group in (hosts[h], everything):
+            group[0] += s[1]
+            group[1] += s[2]
+    overall = everything[1] / max(everything[0], 1)
     out = []
     for host, path, _, template, (rule, verdict) in work:
-        n, lab, bad = stat[host, template]
-        mine = [(t, s) for (h, t), s in stat.items() if h == host]
-        branch = lambda t: re.sub(r"^/[^/]*/", "/*/", t)
-        bl, bb = (sum(s[i] for t, s in mine if branch(t) == branch(template)) for i in (1, 2))
-        prior = sum(s[2] for _, s in mine) / (sum(s[0] for _, s in mine) + 5)
-        rate = bb / max(bl, 1)
-        if lab and abs(bad / lab - rate) <= 1.96 * (rate * (1 - rate) / lab) ** 0.5:
-            lab, bad = bl, bb
+        n, lab, bad = pooled[host, shape[host, template]]
+        prior = (hosts[host][1] + 5 * overall) / (hosts[host][0] + 5)
         p = (bad + 5 * prior) / (lab + 5)
-        out.append((host, path, rule, verdict or ("block" if p >= 0.8 else "allow"), template, round(p, 9)))
+        out.append((host, path, rule, verdict or ("block" if p >= 0.8 and lab / n >= 0.5 else "allow"), "".join("/" + x for x in template), shape[host, template], round(lab / n, 9), round(p, 9)))
     return out
 
 
 def same(spark, rows):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, host string, verdict string")
-    got = [(r.page_id, r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 9)) for r in urls.judge(df, urls.parse_rules(URL_RULES)).collect()]
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict, r.template, r.shape, round(r.known, 9), round(r.purity, 9)) for r in urls.judge(df, urls.parse_rules(URL_RULES)).collect()]
     want = [(k, *w) for (k, _), w in zip(rows, brute(rows), strict=True)]
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
@@ -95,6 +118,27 @@ def test_edge_cases(spark):
     # a branch where most rows are ruled out takes its unruled neighbours along, by name alone
     rows += [(100 + i, f"http://x.org/es/{i}.html") for i in range(60)] + [(200 + i, f"http://x.org/en/{i % 30}") for i in range(60)]
     same(spark, rows)
+
+
+def test_deep_paths_are_told_apart(spark):
+    """Below the third segment too: varying ones become wildcards, siblings of the same make merge, others don't."""
+    far = "/a/b/c/d/e"
+    rows = [(i, f"http://one.com/en{far}/good/{i}/x.html") for i in range(40)] + [(100 + i, f"http://one.com/en{far}/bad/{i}") for i in range(40)]
+    rows += [(200 + i, f"http://one.com/fr{far}/{i % 10}/same{i % 3}") for i in range(40)] + [(300, "http://one.com" + "/s" * 300), (301, "http://one.com" + "/s" * 299)]
+    got = same(spark, rows)
+    assert f"/en{far}/good/*/x.html" in {r[5] for r in got} and f"/en{far}/bad/*" in {r[5] for r in got}
+
+
+def test_a_page_is_rejected_for_its_siblings(spark):
+    """Of pages that no rule decides, those are blocked whose branch looks like blocked ones that make up most of the host."""
+    rows = [(i, f"http://shop.com/en/{i}") for i in range(60)] + [(100 + i, f"http://shop.com/fr/{i}") for i in range(20)] + [(200 + i, f"http://shop.com/help/{i}/read.html") for i in range(3)]
+    got = same(spark, rows)
+    assert {r[4] for r in got if r[0] in range(100, 120)} == {"block"} and {r[4] for r in got if r[0] >= 200} == {"allow"}
+    few = same(spark, [(i, f"http://shop.com/en/{i}") for i in range(10)] + [(100 + i, f"http://shop.com/fr/{i}") for i in range(50)])
+    assert {r[4] for r in few if r[0] >= 100} == {"allow"}  # labels cover too little of the merged branch
+
+
+def test_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), urls.parse_rules(URL_RULES)).count() == 0
 
 
