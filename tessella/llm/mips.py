@@ -101,8 +101,8 @@ class Search:
             scores = products(self.vectors[q[rows]], vectors[cols], self.scale)
             near = self.scaled[q[rows]] @ scaled_c[cols].T - slack[np.ix_(rows, cols)]
             self.computed += scores.size
-            possible = possible[np.ix_(rows, cols)]
-            for r in range(len(rows)):
+            possible = possible[np.ix_(rows, cols)] & ~(near + 2 * slack[np.ix_(rows, cols)] < self.least[q[rows], None])
+            for r in np.flatnonzero(possible.any(axis=1)):
                 self.keep(q[rows[r]], scores[r, possible[r]], ids[cols][possible[r]], near[r, possible[r]])
 
     def keep(self, i: int, scores: np.ndarray, ids: np.ndarray, near: np.ndarray) -> None:
