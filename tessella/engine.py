@@ -625,9 +625,11 @@ def commit_concurrent(db: Database, tx: ConcurrentTx) -> None:
             files = live.write(now, rest.unionByName(fresh))
             told = replace(now, files=tuple(f for f in now.files if f not in set(touched)) + files, last_rowid=max(now.last_rowid, new.last_rowid))
             taken = live.unique_columns(now)
-            for column in taken:
+            for column in taken:  # only what is new can meet a value that is taken
                 col = F.col(f"`{column}`")
-                if not told.frame(db.spark).filter(col.isNotNull()).groupBy(col).count().filter("count > 1").isEmpty():
+                mine = fresh.filter(col.isNotNull()).select(col)
+                others = now.frame(db.spark).join(rows, ROWID, "left_anti").select(col.alias("_v"))
+                if not mine.groupBy(col).count().filter("count > 1").isEmpty() or not mine.join(others, col == F.col("_v"), "left_semi").isEmpty():
                     raise Busy(f"a value of '{name}.{column}' was taken by another transaction: retry")
             live.tables[name] = told
         log.append((name, rows))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.errors import GeneralError
 
-_STEP = re.compile(r"\.([^.\[\]\s*'\"]+)|\[(\d+)\]")
+_STEP = re.compile(r"\.([^.\[\]*'\"]+)|\[(\d+)\]")
 
 
 def check_path(path: str) -> str:
@@ -46,15 +46,10 @@ def kind(doc: Column, path: str = "$") -> Column:
     shape = F.schema_of_variant(node)
     plain = F.when(shape == "BOOLEAN", F.when(F.try_variant_get(node, "$", "boolean"), "true").otherwise("false"))
     plain = plain.when(shape.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), "integer").when(shape == "STRING", "text")
-    plain = plain.when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise(F.when(_whole(node), "integer").otherwise("real"))
+    plain = plain.when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise("real")  # whole numbers beyond 64 bits too
     return F.when(node.isNull(), F.lit(None).cast("string")).when(F.is_variant_null(node), "null").otherwise(plain)
 
 
-def _whole(node: Column) -> Column:
-    """A number without point or exponent that doesn't fit 64 bits reads as real; so nothing here is whole."""
-    return F.lit(False)
-
-
 def extract(doc: Column, path: str = "$") -> Column:
     """The node's text: scalars plain, objects and arrays as JSON; NULL for JSON null or where the path leads nowhere."""
     node = _variant(doc, path)

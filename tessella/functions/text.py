@@ -28,19 +28,32 @@ def query_terms(query: str) -> dict[str, int]:
     return found
 
 
+def _as_token(terms: list[str]) -> str:
+    """A pattern for any of some terms as a whole token; a search needs no list of tokens then."""
+    return f"(?i)(?<![A-Za-z0-9])(?:{'|'.join(terms)})(?![A-Za-z0-9])"
+
+
 def matches(text: Column, query: str) -> Column:
-    """Does any term of the query occur?"""
+    """Does any term of the query occur?  A null text has none."""
     terms = sorted(query_terms(query))
-    if not terms:
-        return F.lit(False)
-    return F.arrays_overlap(tokens(text), F.array(*[F.lit(t) for t in terms]))
+    return F.coalesce(text.rlike(_as_token(terms)), F.lit(False)) if terms else F.lit(False)
+
+
+def length(text: Column) -> Column:
+    """The number of tokens."""
+    return F.coalesce(F.regexp_count(text, F.lit("[A-Za-z0-9]+")), F.lit(0))
+
+
+def occurrences(text: Column, term: str) -> Column:
+    """How often a term is a token."""
+    return F.coalesce(F.regexp_count(text, F.lit(_as_token([term]))), F.lit(0))
 
 
 def bm25_term(tf: Column, length: Column, mean_length: Column, docs: Column, docs_with: Column) -> Column:
-    """What one term adds to the score of a document."""
+    """What one term adds to the score of a document; nothing where it doesn't occur."""
     idf = F.log(1 + (docs - docs_with + 0.5) / (docs_with + 0.5))
     mean = F.when(mean_length > 0, mean_length).otherwise(1.0)
-    return F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / mean))).otherwise(0.0)
+    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def like_pattern(pattern: str) -> str:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
@@ -33,21 +33,20 @@ class CorpusStats:
 def corpus_stats(df: DataFrame, column: str, query: str) -> CorpusStats:
     """Statistics of a column for the terms of a query; texts without tokens count."""
     terms = list(T.query_terms(query))
-    told = df.select(T.tokens(F.col(column)).alias("t"))
-    row = told.agg(
-        F.count("*").alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("mean"), *[F.coalesce(F.sum(F.array_contains("t", t).cast("bigint")), F.lit(0)).alias(f"d{i}") for i, t in enumerate(terms)]
-    ).first()
+    text = F.col(column)
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.avg(T.length(text)), F.lit(0.0)).alias("mean"), *[F.count_if(T.matches(text, t)).alias(f"d{i}") for i, t in enumerate(terms)]).first()
     return CorpusStats(row["n"], float(row["mean"]), {t: row[f"d{i}"] for i, t in enumerate(terms)})
 
 
 def bm25(column: Column, query: str, stats: CorpusStats) -> Column:
-    """BM25 of a text for a query; 0 without a hit.  A term counts as often as the query has it."""
-    told = T.tokens(column)
+    """BM25 of a text for a query; 0 without a hit.  A term counts as often as the query has it.
+
+    Counts are expressions that Spark shares within a row, and no list of tokens is made.
+    """
     score: Column = F.lit(0.0)
-    occurrences = lambda term: F.size(F.filter(told, lambda t: t == term)).cast("double")
     for term, times in T.query_terms(query).items():
-        tf = occurrences(term)
-        score = score + times * T.bm25_term(tf, F.size(told), F.lit(stats.mean_length), F.lit(stats.docs), F.lit(stats.docs_with[term]))
+        tf = T.occurrences(column, term).cast("double")
+        score = score + times * T.bm25_term(tf, T.length(column), F.lit(stats.mean_length), F.lit(stats.docs), F.lit(stats.docs_with[term]))
     return score
 
 
@@ -79,6 +78,24 @@ def bm25_from_postings(index: DataFrame, docs: int, mean_length: float, query: s
     return hits.groupBy("id").agg(F.sum(weight).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+class StoredText:
+    """Postings and statistics of a column, written below a path: a search reads the row groups of its terms only."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.index = spark.read.parquet(f"{path}/postings")
+        self.docs, self.mean_length = spark.read.parquet(f"{path}/stats").first()
+
+    @classmethod
+    def build(cls, df: DataFrame, id_col: str, column: str, path: str) -> StoredText:
+        postings(df, id_col, column).write.parquet(f"{path}/postings")
+        df.agg(F.count("*").alias("docs"), F.coalesce(F.avg(T.length(F.col(column))), F.lit(0.0)).alias("mean")).write.parquet(f"{path}/stats")
+        return cls(df.sparkSession, path)
+
+    def top(self, query: str, k: int) -> DataFrame:
+        """id and score of the best `k` texts with a hit, by score and then id."""
+        return bm25_from_postings(self.index, self.docs, self.mean_length, query, k)
+
+
 def nearest(df: DataFrame, id_col: str, column: str, query: list[float], k: int, metric: str = "l2") -> DataFrame:
     """id and distance of the `k` nearest vectors, exactly; ties by id.  Null vectors are left out."""
     target = F.array(*[F.lit(float(x)) for x in query])

@@ -1,3 +1,6 @@
+import os
+import socket
+
 import pytest
 
 import tessella
@@ -281,3 +284,56 @@ def test_pragmas(db):
         with pytest.raises(EngineError):
             db.execute(bad)
     assert db.execute("VACUUM") == "VACUUM is a no-op for in-memory databases" and db.execute("") == ""
+
+
+def test_vacuum_waits_for_concurrent_transactions(spark, tmp_path):
+    one = tessella.connect(str(tmp_path / "db"), spark)
+    one.execute("CREATE TABLE t (a INTEGER PRIMARY KEY, b TEXT)")
+    one.execute("INSERT INTO t (a, b) VALUES (1, 'x'), (2, 'y')")
+    one.execute("PRAGMA journal_mode = mvcc")
+    two = one.connect()
+    two.execute("BEGIN CONCURRENT")
+    one.execute("UPDATE t SET b = 'z' WHERE a = 1")
+    with pytest.raises(GeneralError, match="VACUUM"):
+        one.execute("VACUUM")
+    assert [tuple(r) for r in two.query("SELECT b FROM t ORDER BY a").collect_all()] == [("x",), ("y",)]
+    two.execute("ROLLBACK")
+    one.execute("VACUUM")
+    assert [tuple(r) for r in one.query("SELECT b FROM t ORDER BY a").collect_all()] == [("z",), ("y",)]
+    two.close()
+    one.close()
+
+
+def test_a_writer_that_dies_leaves_the_manifest_before(spark, tmp_path):
+    folder = tmp_path / "db"
+    db = tessella.connect(str(folder), spark)
+    db.execute("CREATE TABLE t (a INTEGER PRIMARY KEY)")
+    db.execute("INSERT INTO t (a) VALUES (1)")
+    db.close()
+    newest = max(p.name for p in folder.glob("manifest-*.json"))
+    number = int(newest[9:-5])
+    (folder / f"manifest-{number + 1:012d}.json").write_text('{"format": 1, "tab')  # cut off
+    (folder / "writer.lock").write_text(f"{socket.gethostname()} 999999999")  # and its process is gone
+    db = tessella.connect(str(folder), spark)
+    assert [tuple(r) for r in db.query("SELECT a FROM t").collect_all()] == [(1,)]
+    db.execute("INSERT INTO t (a) VALUES (2)")
+    db.close()
+    assert len(list(folder.glob("manifest-*.json"))) <= 3
+    with tessella.connect(str(folder), spark) as db:
+        assert db.query("SELECT COUNT(*) AS n FROM t").next()["n"] == 2
+
+
+def test_another_process_keeps_writers_out(spark, tmp_path):
+    folder = tmp_path / "db"
+    folder.mkdir()
+    (folder / "writer.lock").write_text(f"{socket.gethostname()} {os.getppid()}")
+    with pytest.raises(EngineError, match="in use"):
+        tessella.connect(str(folder), spark)
+
+
+def test_json_keys_with_spaces(spark):
+    db = tessella.connect(spark=spark)
+    db.execute("CREATE TABLE t (a INTEGER PRIMARY KEY, j JSON)")
+    db.execute("""INSERT INTO t (a, j) VALUES (1, '{"a b": {"c": [1, 2]}}')""")
+    assert db.query("SELECT a FROM t WHERE json_extract(j, '$.a b.c[1]') = 2").next()["a"] == 1
+    db.close()
