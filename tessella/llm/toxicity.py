@@ -8,9 +8,10 @@ shorter where the window resembles toxic text more than ordinary text, so ordina
 words cost the same either way.  Both are loaded as trained dictionaries, with the
 entropy tables of the ordinary one, and the optimal parser makes lengths comparable.
 
-The dictionaries are trained on one half of the sample.  On its other half two
-thresholds are calibrated: how many bytes a window must gain to count, and what share
-of counting windows goes with which probability of the label toxic (an isotonic
+The dictionaries are trained on the whole sample.  Two thresholds are calibrated on
+the same texts, each compressed with dictionaries of the `PARTS` - 1 parts of the
+sample that it isn't in: how many bytes a window must gain to count, and what share of
+counting windows goes with which probability of the label toxic (an isotonic
 regression, in which a text counts for all those that the sample drew it from).
 
 Null and empty texts are one empty window.  Repeated rows get equal scores, extra
@@ -35,9 +36,11 @@ WINDOW = 64
 #: Gains in bytes among which the threshold is calibrated.
 GAINS = (1, 2, 3, 4, 5, 6, 8)
 #: A share of windows is counted out of so many more.
-SHRINK = 10
+SHRINK = 30
+#: Parts of the sample, told apart by a checksum of the text.
+PARTS = 4
 #: Bytes of the dictionaries, at most one part of so many of their text; and bytes of a training sample.
-TOXIC_BYTES, ORDINARY_BYTES, PART_OF_TEXT, SAMPLE = 8192, 112_640, 8, 400
+TOXIC_BYTES, ORDINARY_BYTES, PART_OF_TEXT, SAMPLE = 4096, 112_640, 8, 400
 #: The compression level of the optimal parser.
 LEVEL = 16
 
@@ -143,24 +146,34 @@ def _trained(texts: list[bytes], most: int, segment: int) -> bytes | None:
         return None
 
 
+def _books(ordinary: list[bytes], toxic: list[bytes]) -> Model | None:
+    """A model without thresholds, or None where one class has too little text."""
+    plain, marked = _trained(ordinary, ORDINARY_BYTES, 32), _trained(toxic, TOXIC_BYTES, 12)
+    if plain is None or marked is None:
+        return None
+    cut = header_size(plain)
+    return Model(plain, plain[:cut] + marked[header_size(marked) :] + plain[cut:])
+
+
 def train(rows: list[tuple[str | None, int]], counts: dict[int, int] | None = None) -> Model:
-    """Fit dictionaries on one half of the distinct texts of each class, calibrate on the other.
+    """Fit dictionaries on the distinct texts of each class; calibrate on the same texts, part by part.
 
     `counts` has the labelled rows of each class that the rows stand for.
     """
     by = {k: sorted({t or "" for t, y in rows if y == k}) for k in (0, 1)}
     counts = counts or {k: sum(y == k for _, y in rows) for k in (0, 1)}
     rate = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
-    half = {k: [[t for t in v if zlib.crc32(t.encode("utf-8", "replace")) % 2 == part] for part in (0, 1)] for k, v in by.items()}
-    ordinary = _trained([normal(t) for t in half[0][0]], ORDINARY_BYTES, 32)
-    toxic = _trained([normal(t) for t in half[1][0]], TOXIC_BYTES, 16)
-    if ordinary is None or toxic is None or not half[0][1] or not half[1][1]:
+    texts = [(zlib.crc32(t.encode("utf-8", "replace")) % PARTS, k, t) for k in (0, 1) for t in by[k]]
+
+    def without(part: int | None) -> Model | None:
+        return _books(*([normal(t) for p, y, t in texts if y == k and p != part] for k in (0, 1)))
+
+    model, others = without(None), [without(part) for part in range(PARTS)]
+    if model is None or any(m is None for m in others):
         return Model(chances=np.array([rate]))
-    cut = header_size(ordinary)
-    model = Model(ordinary, ordinary[:cut] + toxic[header_size(toxic) :] + ordinary[cut:])
-    held = [(model.gains(t), k) for k in (0, 1) for t in half[k][1]]
+    held = [(others[part].gains(t), k) for part, k, t in texts]
     y = np.array([k for _, k in held], dtype=float)
-    weight = np.array([counts[k] / len(half[k][1]) for _, k in held])
+    weight = np.array([counts[k] / len(by[k]) for _, k in held])
     tried = [(isotonic(np.array([share(g, least) for g, _ in held]), y, weight), least) for least in GAINS]
     (model.shares, model.chances, _), model.gain = min(tried, key=lambda t: t[0][2])
     return model
