@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from tessella.errors import Busy, GeneralError, InternalError, NotImplementedFeature
 from tessella.functions import json as J
+from tessella.functions import text as TX
+from tessella.operators import search
 from tessella.plans import ast as A
 from tessella.plans import binder as B
 from tessella.plans.binder import ROWID
@@ -52,6 +54,19 @@ class Index:
         return f"CREATE {'UNIQUE ' if self.unique else ''}INDEX {self.name} ON {self.table}{using} ({self.column}){metric}"
 
 
+@dataclass(frozen=True)
+class Segment:
+    """Stored postings of a text column of some data files."""
+
+    column: str
+    files: tuple[tuple[str, str, int, int], ...]  # each data file, its name in the postings, its texts, their tokens
+    parts: tuple[str, ...]
+
+
+#: Columns of stored postings.
+POSTINGS = "term string, id bigint, file string, length int, tf bigint"
+
+
 @dataclass(frozen=True)
 class Version:
     """A table at one moment."""
@@ -62,6 +77,11 @@ class Version:
     last_rowid: int = 0
     indexes: tuple[Index, ...] = ()
     shape: str = ""  # JSON of Spark types for loaded tables, whose types a declaration can't name
+    segments: tuple[Segment, ...] = ()
+
+    @property
+    def all_files(self) -> tuple[str, ...]:
+        return (*self.files, *[p for s in self.segments for p in s.parts])
 
     @property
     def by_name(self) -> dict[str, A.ColumnDef]:
@@ -140,7 +160,7 @@ class Database:
         found = cls(spark, store)
         for name, told in ((store.read_manifest() or {}).get("tables") or {}).items():
             columns = tuple(A.ColumnDef(**{**c, "default": tuple(c["default"]) if isinstance(c["default"], list) else c["default"]}) for c in told["columns"])
-            found.tables[name] = Version(name, columns, tuple(told["files"]), told["last_rowid"], tuple(Index(**i) for i in told["indexes"]), told["shape"])
+            found.tables[name] = Version(name, columns, tuple(told["files"]), told["last_rowid"], tuple(Index(**i) for i in told["indexes"]), told["shape"], tuple(Segment(s["column"], tuple(map(tuple, s["files"])), tuple(s["parts"])) for s in told.get("segments", ())))
         return found
 
     @property
@@ -150,7 +170,7 @@ class Database:
     def publish(self) -> None:
         """Make the current versions those that an open finds."""
         told = {
-            t.name: {"columns": [c.__dict__ for c in t.columns], "files": list(t.files), "last_rowid": t.last_rowid, "indexes": [i.__dict__ for i in t.indexes], "shape": t.shape}
+            t.name: {"columns": [c.__dict__ for c in t.columns], "files": list(t.files), "last_rowid": t.last_rowid, "indexes": [i.__dict__ for i in t.indexes], "shape": t.shape, "segments": [s.__dict__ for s in t.segments]}
             for t in self.tables.values()
         }
         self.store.write_manifest({"format": 1, "tables": told})
@@ -182,12 +202,14 @@ class Session:
         return self.spark.createDataFrame(rows, "type string, name string, sql string, rootpage long, last_rowid long").coalesce(1)
 
     def source(self, ref: A.Source, position: int) -> B.Table:
+        stored = None
         if ref.table == CATALOG:
             if position:
                 raise NotImplementedFeature(f"joining {CATALOG} is not supported")
             raw, fts, rowid = self.catalog(), lambda c: False, None
         else:
             version = self.table(ref.table)
+            stored = lambda column, query: self.stored_scores(version, column, query)
             raw, rowid = version.frame(self.spark), ROWID
             with_fts = {i.column for i in version.indexes if i.using == "fts"}
             fts = with_fts.__contains__
@@ -195,7 +217,43 @@ class Session:
         df = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
         kinds = {f.name: B.kind_of(f) for f in raw.schema.fields}
         inner = names.pop(ROWID) if rowid else None
-        return B.Table(ref.scope, df, names, kinds, fts, raw, inner)
+        return B.Table(ref.scope, df, names, kinds, fts, raw, inner, stored)
+
+    # --- stored postings -----------------------------------------------------
+
+    def indexed(self, table: Version) -> Version:
+        """The version with postings of all its files for its full-text indexes; files that have some keep them."""
+        live, segments = set(table.files), []
+        for column in dict.fromkeys(i.column for i in table.indexes if i.using == "fts"):
+            kept = [s for s in table.segments if s.column == column and any(f[0] in live for f in s.files)]
+            known = {f[0] for s in kept for f in s.files}
+            fresh = tuple(f for f in table.files if f not in known)
+            segments += [*kept, *([self.segment(table, column, fresh)] if fresh else [])]
+        return replace(table, segments=tuple(segments))
+
+    def segment(self, table: Version, column: str, files: tuple[str, ...]) -> Segment:
+        """Write the postings of some files of a table, ranged by term."""
+        rows = table.frame(self.spark, files).withColumn("_file", F.input_file_name()).select(F.col(ROWID).alias("id"), F.col("_file").alias("file"), F.col(f"`{column}`").alias("text"))
+        folder = self.db.store.new_folder(f"{table.name}-postings")
+        search.postings(rows, "id", "text", "file").select("term", "id", "file", "length", "tf").write.parquet(folder)
+        sums = rows.groupBy("file").agg(F.count("*").alias("docs"), F.sum(TX.length(F.col("text"))).cast("long").alias("tokens")).collect()  # a row a file
+        told = {canonical(r["file"]): (r["file"], r["docs"], r["tokens"]) for r in sums}
+        return Segment(column, tuple((f, *told.get(canonical(f), ("", 0, 0))) for f in files), tuple(self.db.store.files_of(folder)))
+
+    def stored_scores(self, table: Version, column: str, query: str) -> DataFrame | None:
+        """id and score of the rows that match, from stored postings; None unless they cover all files of the version."""
+        live = set(table.files)
+        mine = [s for s in table.segments if s.column == column]
+        known = [f for s in mine for f in s.files if f[0] in live]
+        parts = [p for s in mine for p in s.parts]
+        if not parts or {f[0] for f in known} != live:
+            return None
+        index = self.spark.read.schema(POSTINGS).parquet(*parts)
+        gone = [f[1] for s in mine for f in s.files if f[0] not in live and f[1]]  # files that were rewritten since
+        if gone:
+            index = index.filter(~F.col("file").isin(gone))
+        docs, tokens = sum(f[2] for f in known), sum(f[3] for f in known)
+        return search.scores(index, docs, tokens / docs if docs else 0.0, query)
 
     # --- queries -----------------------------------------------------------
 
@@ -631,7 +689,7 @@ def commit_concurrent(db: Database, tx: ConcurrentTx) -> None:
                 others = now.frame(db.spark).join(rows, ROWID, "left_anti").select(col.alias("_v"))
                 if not mine.groupBy(col).count().filter("count > 1").isEmpty() or not mine.join(others, col == F.col("_v"), "left_semi").isEmpty():
                     raise Busy(f"a value of '{name}.{column}' was taken by another transaction: retry")
-            live.tables[name] = told
+            live.tables[name] = live.indexed(told)
         log.append((name, rows))
     db.clock += 1
     db.commits += [Commit(db.clock, name, rows) for name, rows in log]

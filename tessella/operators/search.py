@@ -57,25 +57,34 @@ def bm25_top(df: DataFrame, id_col: str, column: str, query: str, k: int) -> Dat
     return hits.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def postings(df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """(term, id, tf, length) of every token of a column, ranged and sorted by term."""
-    told = df.select(F.col(id_col).alias("id"), T.tokens(F.col(column)).alias("t"))
-    rows = told.select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return rows.groupBy("term", "id", "length").agg(F.count("*").alias("tf")).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+def postings(df: DataFrame, id_col: str, column: str, *more: str) -> DataFrame:
+    """(term, id, length, tf) of every token of a column, ranged and sorted by term; `more` columns of the rows are kept."""
+    told = df.select(F.col(id_col).alias("id"), *more, T.tokens(F.col(f"`{column}`")).alias("t"))
+    rows = told.select("id", *more, F.size("t").alias("length"), F.explode("t").alias("term"))
+    return rows.groupBy("term", "id", *more, "length").agg(F.count("*").alias("tf")).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
 
-def bm25_from_postings(index: DataFrame, docs: int, mean_length: float, query: str, k: int) -> DataFrame:
-    """id and score of the best `k`, from stored postings; the terms are pushed into the scan."""
+def scores(index: DataFrame, docs: int, mean_length: float, query: str) -> DataFrame:
+    """id and score of every text with a hit, from stored postings; the terms are pushed into the scan.
+
+    The terms' parts are added in the order of the query, so scores equal those of :func:`bm25` to the last bit.
+    """
     terms = T.query_terms(query)
     if not terms:
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
     hits = index.filter(F.col("term").isin(*terms))
     found = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row a term
-    weight: Column = F.lit(0.0)
-    for term, times in terms.items():
-        part = times * T.bm25_term(F.col("tf").cast("double"), F.col("length"), F.lit(mean_length), F.lit(docs), F.lit(found.get(term, 0)))
-        weight = F.when(F.col("term") == term, part).otherwise(weight)
-    return hits.groupBy("id").agg(F.sum(weight).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    counted = hits.groupBy("id").agg(F.max("length").alias("length"), *[F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    score: Column = F.lit(0.0)
+    for i, (term, times) in enumerate(terms.items()):
+        tf = F.coalesce(F.col(f"tf{i}"), F.lit(0)).cast("double")
+        score = score + times * T.bm25_term(tf, F.col("length"), F.lit(mean_length), F.lit(docs), F.lit(found.get(term, 0)))
+    return counted.select("id", score.alias("score"))
+
+
+def bm25_from_postings(index: DataFrame, docs: int, mean_length: float, query: str, k: int) -> DataFrame:
+    """id and score of the best `k`, from stored postings."""
+    return scores(index, docs, mean_length, query).orderBy(F.desc("score"), "id").limit(k)
 
 
 class StoredText:

@@ -56,6 +56,7 @@ class Table:
     fts: Callable[[str], bool]
     raw: DataFrame
     rowid: str | None
+    stored: Callable[[str, str], DataFrame | None] | None = None  # column, query -> (id, score) from stored postings
 
 
 class Binder:
@@ -64,6 +65,8 @@ class Binder:
     def __init__(self, tables: list[Table], params: list[Any] | None = None):
         self.tables, self.params = tables, params
         self.hidden: set[tuple[int, str]] = set()  # columns that SELECT * shows once only
+        self.scored: dict[tuple[str, str], str] | None = None  # scores that a SELECT can join: (column, query) -> name
+        self.waiting: list[tuple[str, DataFrame]] = []  # those that it hasn't joined yet
 
     # --- names -----------------------------------------------------------
 
@@ -225,11 +228,26 @@ class Binder:
         query = given.value if isinstance(given, A.Literal) else self.params[given.index] if isinstance(given, A.Param) and self.params else None
         if not isinstance(query, str):
             raise GeneralError(f"{e.name} needs a text to search for")
+        score = self.stored_score(t, column, query)
+        if score is not None:
+            return (score.isNotNull(), "bool") if e.name == "fts_match" else (F.coalesce(score, F.lit(0.0)), "real")
         col = F.col(t.columns[column])
         if e.name == "fts_match":
             return TX.matches(col, query), "bool"
         return search.bm25(col, query, search.corpus_stats(t.raw, column, query)), "real"
 
+    def stored_score(self, t: Table, column: str, query: str) -> Column | None:
+        """The score from stored postings, null without a hit; None where a scan has to tell."""
+        if self.scored is None or t.stored is None or not TX.query_terms(query):
+            return None
+        if (column, query) not in self.scored:
+            found = t.stored(column, query)
+            if found is None:
+                return None
+            self.scored[column, query] = name = f"_f{len(self.scored)}"
+            self.waiting.append((name, found))
+        return F.col(self.scored[column, query])
+
 
 # --- typed columns ------------------------------------------------------------
 
@@ -330,6 +348,8 @@ class Selection:
             seen.add(source.scope.lower())
         self.binder = Binder([resolve(query.source, 0)], params)
         self.df = self.binder.tables[0].df
+        if not query.joins and self.binder.tables[0].rowid:
+            self.binder.scored = {}
         for i, join in enumerate(query.joins, 1):
             self.add_join(join, resolve(join.source, i))
 
@@ -375,11 +395,15 @@ class Selection:
     def frame(self) -> DataFrame:
         q = self.query
         if q.where is not None:
-            self.df = self.df.filter(self.binder.truth(q.where))
+            condition = self.binder.truth(q.where)
+            self.join_scores()
+            self.df = self.df.filter(condition)
         if q.group or any(isinstance(i.expr, A.Aggregate) for i in q.items or ()):
             return self.grouped()
         headers, columns = self.projection()
         limit = self.limit()
+        key = self.sort_key(q.order) if q.order is not None else None
+        self.join_scores()
         keys = [f"_c{i}" for i in range(len(columns))]
         df = self.df
         rowid = self.binder.tables[0].rowid
@@ -388,15 +412,13 @@ class Selection:
             if q.order is None:
                 df = df.select(*[c.alias(k) for c, k in zip(columns, keys, strict=True)]).distinct()
             else:
-                key = self.sort_key(q.order).alias("_key")
-                df = df.select(*[c.alias(k) for c, k in zip(columns, keys, strict=True)], key)
+                df = df.select(*[c.alias(k) for c, k in zip(columns, keys, strict=True)], key.alias("_key"))
                 nulls = F.max(F.col("_key").isNull())
                 first = F.max("_key") if q.descending else F.when(nulls, F.lit(None)).otherwise(F.min("_key"))
                 df = df.groupBy(*keys).agg(first.alias("_key"))
                 df = df.orderBy(F.col("_key").desc_nulls_last() if q.descending else F.col("_key").asc_nulls_first(), *keys)
         else:
             if q.order is not None:
-                key = self.sort_key(q.order)
                 df = df.orderBy(key.desc_nulls_last() if q.descending else key.asc_nulls_first(), *ties)
             elif rowid and limit is not None:
                 df = df.orderBy(*ties)
@@ -405,6 +427,13 @@ class Selection:
             df = df.limit(limit)
         return df.select(*keys).toDF(*headers)
 
+    def join_scores(self) -> None:
+        """Join the scores that the expressions lowered so far speak of, by row id; a filter on a hit makes it an inner join."""
+        while self.binder.waiting:
+            name, found = self.binder.waiting.pop()
+            told = found.select(F.col("id").alias(f"{name}_id"), F.col("score").alias(name))
+            self.df = self.df.join(told, F.col(self.binder.tables[0].rowid) == F.col(f"{name}_id"), "left")
+
     def sort_key(self, e: Any) -> Column:
         """ORDER BY takes an expression over the tables, or an alias of the projection."""
         if isinstance(e, A.Name) and e.qualifier is None and not any(e.column in t.columns for t in self.binder.tables):
@@ -440,6 +469,8 @@ class Selection:
                 if e.name == "AVG":
                     return F.avg(col), "real"
                 return F.sum(col), "int" if kind == "bool" else kind
+            case "MIN" | "MAX" if kind == "vector":  # vectors compare as their text
+                return (F.min_by if e.name == "MIN" else F.max_by)(col, shown(col, kind)), kind
             case "MIN":
                 return F.min(col), kind
         return F.max(col), kind

@@ -257,6 +257,39 @@ _dml("transaction", "SELECT count(*) AS n FROM supplier", "BEGIN", "DELETE FROM
 _dml("catalog_scan", "SELECT 'table' AS type, 'supplier' AS name UNION ALL SELECT 'index', 'tessella_autoindex_supplier_s_suppkey' UNION ALL SELECT 'index', 'by_nation'", "CREATE INDEX by_nation ON supplier (s_nationkey)", query="SELECT type, name FROM tessella_master")
 
 
+# --- full-text search from stored postings ------------------------------------------------------------
+
+_SEARCH = f"SELECT doc_id FROM documents WHERE fts_match(text, '{' '.join(_TERMS)}') ORDER BY bm25_score(text, '{' '.join(_TERMS)}') DESC LIMIT 10"
+_CONNECTED: dict[tuple, object] = {}
+
+
+def _searched(spark: SparkSession, folder: str, *statements: str) -> DataFrame:
+    """A search over documents with an index, after some statements; a session builds the table once for a folder."""
+    from tessella.connection import connect
+
+    key = spark.sparkContext.applicationId, folder, *statements
+    if key not in _CONNECTED:
+        connection = connect(spark=spark)
+        connection.load("documents", parquet(spark, folder, "documents"), primary_key="doc_id")
+        connection.execute("CREATE INDEX words ON documents USING fts (text)")
+        for s in statements:
+            connection.execute(s)
+        _CONNECTED[key] = connection
+    return _CONNECTED[key].query(_SEARCH).df
+
+
+_op("sql_bm25", f"SELECT doc_id FROM ({_bm25_sql(10)})")(_searched)
+_op(
+    "sql_bm25_changed",
+    f"SELECT doc_id FROM ({_bm25_sql(10)})".replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id = 44 THEN 'Apache license, the license' ELSE text END AS text FROM documents WHERE doc_id >= 20 UNION ALL SELECT 100000001, 'the apache')"),
+)(
+    lambda spark, d: _searched(
+        spark, d, "DELETE FROM documents WHERE doc_id < 20", "UPDATE documents SET text = 'Apache license, the license' WHERE doc_id = 44",
+        "INSERT INTO documents (doc_id, text) VALUES (100000001, 'the apache')",
+    )
+)
+
+
 # --- transactions, declarations, parameters -----------------------------------------------------------
 
 _dml("txn_commit", "SELECT * FROM supplier WHERE s_nationkey <> 3", "BEGIN", "DELETE FROM supplier WHERE s_nationkey = 3", "COMMIT")
