@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import bpe, langid, mixing, setjoin, toxicity
 from tessella.llm.entries import MIX_TARGETS, labelled_languages, vocabulary
-from tessella.llm.shared import documents, durable, give_back
+from tessella.llm.shared import documents, durable, let_go
 
 
 #: Most uses of a document in the mix, and so the most that mixing multiplies any table by.
@@ -99,12 +99,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def let_go(spark: SparkSession) -> None:
-    """Free what a stage has left behind: samples in the driver's Python, its plans, and with them broadcasts and shuffle files."""
-    give_back(collect=True)  # Python's handles first: they keep the JVM's objects alive
-    spark.sparkContext._jvm.System.gc()
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents table."""
     docs = documents(spark, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import durable
+from tessella.llm.shared import durable, let_go
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             return work.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(work.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         before = state
+        let_go(edges.sparkSession)
         both = work.unionByName(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

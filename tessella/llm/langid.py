@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import bounded_sample, worker_cache
+from tessella.llm.shared import bounded_sample, made_apart, worker_cache
 
 #: Dimensions of the hashed n-gram space, centroids of a language.
 DIMS, CENTROIDS = 4096, 3
@@ -112,8 +112,8 @@ def train(rows: list[tuple[str, str]], k: int = CENTROIDS) -> Model:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_from: Column | None = None, sample_docs: int = 4000, sample_bytes: int = 32_000_000) -> Model:
     """Train on a sample of labelled documents, evenly over the languages.
 
-    `sample_docs` and `sample_bytes` bound what reaches the driver, in rows and in
-    bytes of their whole texts; equal rows count once in the sample.
+    `sample_docs` and `sample_bytes` bound the sample, in rows and in bytes of their
+    whole texts; equal rows count once in it.  It is trained on in a task of its own.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     if learn_from is not None:
@@ -121,8 +121,11 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("kind"), F.col(text_col).alias("text"))
     names = max(1, known.select("kind").distinct().count())
     _, drawn = bounded_sample(known, max(1, sample_docs // names), sample_bytes // names, "language sample")
-    got = sorted(drawn.collect(), key=lambda r: (r.id, r.kind, r.text))
-    return train([(r.text, r.kind) for r in got])
+    return made_apart(drawn.select("id", "kind", "text"), _from_sample)
+
+
+def _from_sample(rows: list[tuple]) -> Model:
+    return train([(text, kind) for _, kind, text in sorted(rows)])
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "language") -> DataFrame:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import ascii_lower, bounded_sample, durable
+from tessella.llm.shared import ascii_lower, bounded_sample, durable, let_go
 
 #: Buckets that words are hashed to.
 BUCKETS = 4096
@@ -196,7 +196,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_c
     domains = sorted(targets)
     model = train(docs, labelled, domains, id_col=id_col, text_col=text_col, domain_col=domain_col, sample_docs=sample_docs)
     table = durable(model.posteriors(docs, id_col, text_col), "posteriors")
+    let_go(docs.sparkSession)
     steps, reached, aim = fit_rates(table, [targets[d] for d in domains], lowest=lowest, most=most, total=total)
+    let_go(docs.sparkSession)
     draw = F.pmod(F.xxhash64("id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     rated = table.withColumn("rate", rate_of(steps, lowest, most=most))
     likeliest = F.get(F.array(*[F.lit(d) for d in domains]), (F.array_position("p", F.array_max("p")) - 1).cast("int"))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.graph import components
-from tessella.llm.shared import durable, give_back, worker_cache
+from tessella.llm.shared import durable, give_back, let_go, worker_cache
 
 #: Bytes of text that are hashed at a time, at least one text.
 CHUNK_BYTES = 2_000_000
@@ -472,7 +472,9 @@ def links(docs: DataFrame, *, text_col: str = "text", width: int = 5, percent: i
     tokens = table.agg(F.sum("n")).first()[0] or 0
     parts = parts or max(PARTS_LEAST, -(-int(tokens) * (100 - percent) // 100 // PART_ENTRIES))
     met = meetings(docs, text_col, width, percent, frequent_tokens(table), parts)
+    let_go(docs.sparkSession)
     merged = durable(_merged(met), "places")
+    let_go(docs.sparkSession)
     sizes = merged.groupBy("hub").agg(F.count("*").alias("c")).filter("c > 1")
     member = durable(_with_hub(merged, sizes), "places")
     blocks = F.ceil(F.col("c") / block).cast("int")
@@ -521,6 +523,7 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """As :func:`join`, with `mark` (xxhash64 of the text, null as empty) and `component`, a name that every component of texts with words has for itself."""
     table = profiles(docs, id_col, text_col, width)
     label = components(links(docs, text_col=text_col, width=width, percent=percent, block=block, table=table, parts=parts))
+    let_go(docs.sparkSession)
     rows = table.filter("n IS NOT NULL")
     own = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("least"))
     named = own.join(label, F.col("key") == F.col("node")).select("key", "least", "label")

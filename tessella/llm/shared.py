@@ -12,8 +12,10 @@ import ctypes
 import gc
 import io
 import os
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -145,6 +147,33 @@ def give_back(collect: bool = False) -> None:
         return
 
 
+def let_go(spark: SparkSession) -> None:
+    """Free what steps have left behind in the driver: samples in Python, plans, and with them broadcasts and shuffle files."""
+    give_back(collect=True)  # Python's handles first: they keep the JVM's objects alive
+    spark.sparkContext._jvm.System.gc()
+
+
+def made_apart(rows: DataFrame, make: Callable[[list[tuple]], object]) -> object:
+    """What `make` gets from all rows of a bounded table, as tuples in no order.
+
+    One task of an executor does it, so neither the rows nor what making takes are
+    in the driver's memory, only what was made.
+    """
+    names = rows.columns
+
+    def run(batches):
+        import pandas as pd
+
+        worker_cache("made apart")
+        held = [row for batch in batches for row in zip(*[batch[c].tolist() for c in names], strict=True)]
+        yield pd.DataFrame({"made": [pickle.dumps(make(held))]})
+        del held
+        give_back(collect=True)
+
+    found = rows.repartition(1).mapInPandas(run, "made binary").collect()  # one row, or none of an empty table
+    return pickle.loads(found[0].made) if found else make([])
+
+
 def fold(doc_id: Column | str, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

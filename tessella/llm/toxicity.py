@@ -23,13 +23,14 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import bounded_sample, worker_cache
+from tessella.llm.shared import bounded_sample, made_apart, worker_cache
 
 #: Bytes of a window; it ends at the last word end before.
 WINDOW = 64
@@ -183,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Train on a sample of labelled documents.
 
     `sample_toxic` and `sample_ordinary` bound the labels that are looked up and the
-    rows that reach the driver, `sample_bytes` the bytes of each class's whole texts.
+    rows of the sample, `sample_bytes` the bytes of each class's whole texts.  A task of
+    its own trains on the sample.
     `learn_from` is a condition on the id column; a document with several labels
     counts as toxic if any says so.
     """
@@ -196,7 +198,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = text.join(F.broadcast(drawn.select("id", "kind")), "id")  # at most sample_toxic + sample_ordinary rows are broadcast
     _, sample = bounded_sample(found.select("id", "kind", "text"), most, sample_bytes, "toxicity sample")
-    return train([(r.text, r.kind) for r in sample.collect()], counts)
+    return made_apart(sample.select("text", "kind"), partial(_from_sample, counts=counts))
+
+
+def _from_sample(rows: list[tuple], counts: dict[int, int]) -> Model:
+    return train(rows, counts)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:

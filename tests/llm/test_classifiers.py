@@ -147,3 +147,19 @@ def test_windows_cover_the_whole_text():
     for _ in range(200):
         data = toxicity.normal(" ".join("x" * rnd.randrange(1, 90) for _ in range(rnd.randrange(1, 40))))
         assert b"".join(toxicity.windows(data)) == data
+
+
+def test_training_takes_place_outside_the_driver(spark, monkeypatch):
+    """Neither the sample nor what training takes is in the driver's memory."""
+    ident = spark.createDataFrame([(i, f"the house of number {i} and the garden" if i % 2 else f"das Haus der Nummer {i} und der Garten", "en" if i % 2 else "de") for i in range(200)], "doc_id long, text string, lang string")
+    docs, labels = tables(spark, 400)
+
+    def refused(*_):
+        raise AssertionError("the driver trains")
+
+    with monkeypatch.context() as here:  # a worker has the module as it is
+        here.setattr(langid, "train", refused)
+        here.setattr(toxicity, "train", refused)
+        model, marked = langid.fit(ident), toxicity.fit(docs, labels)
+    assert [lang for lang, _, _ in model.predict(["the garden", "der Garten"])] == ["en", "de"]
+    assert marked.both and len(marked.chances) > 1
