@@ -13,8 +13,8 @@ by hash, then frequent ones, by hash.
   tokens that only one of the sets has: s <= (n_x + n_y) * (100 - T) / (100 + T).  So some two shared
   tokens are neighbours in both sets, and the pair is found by their combination.
 
-Which tokens count as frequent (counted over all documents, in chunks) affects
-the work only, never the result.  Equal sets are one node of the graph, found by
+All tokens of all documents are counted, copies within a chunk of documents once;
+which count as frequent affects the work only, never the result.  Equal sets are one node of the graph, found by
 a digest.  Sets that share a signature meet at the group's smallest set, its hub, and
 hubs with common members are merged; a hub's sets are verified together, each against those it isn't connected with yet,
 so a group of many copies costs a comparison for each copy and not for each pair.
@@ -50,8 +50,8 @@ FREQUENT_FROM, FREQUENT_MOST = 6, 1 << 20
 SPARE = 20
 #: Fewest partitions of the index.
 PARTS_LEAST = 32
-#: A token that a chunk has once is counted in one chunk of so many, and so many times there; it has to be met in so many of those.
-ONCE_IN, ONCE_FROM = 128, 2
+#: Every token is counted once, in one of so many parts at least; bytes of text for which there is a part; tokens and texts that a task holds at a time.
+ONCE_IN, PART_BYTES, HELD_TOKENS, HELD_TEXTS = 128, 16_000_000, 1_000_000, 1000
 #: Index entries of one partition; bits of the sketch of sets that met another: so many a set, within these bounds (64 MB at most).
 PART_ENTRIES, SKETCH_OF_SET, SKETCH_LEAST, SKETCH_MOST = 1_000_000, 32, 1 << 22, 1 << 29
 #: Parts that the rows of a hub are dealt to in joins.
@@ -293,51 +293,84 @@ def _hubs(sig: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> tupl
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """A row for each document (id, mark, n, key), and rows (token, c) of counts of documents, below zero where estimated.
+    """A row for each document (id, mark, n, key), and rows (token, c) of all tokens that `FREQUENT_FROM` or more documents have.
 
-    `mark` is a hash of the text, which tells rows of one id apart.  Tokens that several
-    documents of a chunk have are counted; of those that one has, a share by hash,
-    so that a token which every chunk has once is counted as well.
+    `mark` is a hash of the text, which tells rows of one id apart.  Equal sets of a chunk
+    of documents count once.  Each chunk deals its tokens out to parts by their value, and a
+    task counts one part at a time, so memory is bounded by a chunk and a part.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
+    spark = docs.sparkSession
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    shown = kind if kind == "binary" else "string"  # pandas would turn numbers beside nulls to doubles
+    source = docs.select(F.col(id_col).cast(shown).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    parts, least = max(ONCE_IN, -(-size // PART_BYTES)), FREQUENT_FROM
 
     def run(batches):
         import pandas as pd
 
+        def dealt(held: dict[bytes, np.ndarray]):
+            token = np.concatenate([*held.values(), np.zeros(0, _U)])
+            part = (token % _U(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            token, cuts = token[order], np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+            filled = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
+            return pd.DataFrame({"part": filled, "id": None, "mark": 0, "n": -1, "key": None, "tokens": [token[cuts[p] : cuts[p + 1]].tobytes() for p in filled]})
+
+        held, size = {}, 0
+        for batch in batches:
+            for i in range(0, len(batch), HELD_TEXTS):
+                rows = batch[i : i + HELD_TEXTS]
+                sets = token_sets(rows["text"].tolist(), width)
+                keys = [digest(s) if len(s) else None for s in sets]
+                yield pd.DataFrame({"part": rows["mark"] % parts, "id": rows["id"], "mark": rows["mark"], "n": [len(s) for s in sets], "key": keys, "tokens": None})
+                for key, s in zip(keys, sets, strict=True):
+                    if key is not None and key not in held:
+                        held[key] = s
+                        size += len(s)
+                if size >= HELD_TOKENS:
+                    yield dealt(held)
+                    held, size = {}, 0
+        yield dealt(held)
+        del held
+        give_back()
+
+    def count(batches):
+        import pandas as pd
+
         empty = lambda n: pd.array([None] * n, dtype="Int64")
 
-        def counted(held: dict[bytes, np.ndarray], chunk: int):
-            token, c = np.unique(np.concatenate([*held.values(), np.zeros(0, _U)]), return_counts=True)
-            drawn = _mix(token + _U((chunk + 1) * int(_BASE) % (1 << 64))) % _U(ONCE_IN) == 0
-            token, c = token[(c > 1) | drawn], np.where(c > 1, c, -ONCE_IN)[(c > 1) | drawn]
-            return pd.DataFrame({"id": None, "mark": empty(len(token)), "n": empty(len(token)), "key": None, "token": token.view(np.int64), "c": c})
+        def counted(held: list[bytes]):
+            token, c = np.unique(np.frombuffer(b"".join(held), dtype=_U), return_counts=True)
+            token, c = token[c >= least].view(np.int64), c[c >= least]
+            return pd.DataFrame({"id": None, "mark": empty(len(c)), "n": empty(len(c)), "key": None, "token": token, "c": c})
 
-        held, size, chunk = {}, 0, 0
+        now, held = None, []
         for batch in batches:
-            sets = token_sets(batch["text"].tolist(), width)
-            keys = [digest(s) if len(s) else None for s in sets]
-            if not size and keys:  # chunks of different tasks draw differently
-                chunk = int.from_bytes((keys[0] or bytes(8))[:6], "little")
-            yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"], "n": [len(s) for s in sets], "key": keys, "token": empty(len(sets)), "c": empty(len(sets))})
-            for key, s in zip(keys, sets, strict=True):
-                if key is not None and key not in held:
-                    held[key] = s
-                    size += len(s)
-            if size >= 2_000_000:
-                yield counted(held, chunk)
-                held, size = {}, 0
-        yield counted(held, chunk)
+            rows, dealt = batch[batch["n"] >= 0], batch[batch["n"] < 0]
+            yield rows[["id", "mark", "n", "key"]].assign(token=empty(len(rows)), c=empty(len(rows)))
+            for part, tokens in zip(dealt["part"].tolist(), dealt["tokens"], strict=True):
+                if part != now:
+                    if held:
+                        yield counted(held)
+                    now, held = part, []
+                held.append(bytes(tokens))
+        if held:
+            yield counted(held)
         del held
         give_back()
 
-    return durable(source.mapInPandas(run, f"id {kind}, mark bigint, n bigint, key binary, token bigint, c bigint"), "set-profiles")
+    # one shuffle has the rows of documents too, or texts would be read twice
+    dealt = source.mapInPandas(run, f"part bigint, id {shown}, mark bigint, n bigint, key binary, tokens binary").repartition(parts, "part").sortWithinPartitions("part")
+    table = dealt.mapInPandas(count, f"id {shown}, mark bigint, n bigint, key binary, token bigint, c bigint")
+    table = durable(table.withColumn("id", F.col("id").cast(kind)), "set-profiles")
+    let_go(spark)
+    return table
 
 
 def frequent_tokens(table: DataFrame) -> np.ndarray:
     """The most frequent tokens, sorted; at most `FREQUENT_MOST`."""
-    both = table.filter("token IS NOT NULL").groupBy("token").agg(F.sum(F.abs("c")).alias("c"), F.sum(F.greatest("c", F.lit(0))).alias("seen"), F.count_if(F.col("c") < 0).alias("drawn"))
-    counts = durable(both.filter((F.col("seen") >= FREQUENT_FROM) | (F.col("drawn") >= ONCE_FROM)).select("token", "c"), "token-counts")
+    counts = table.filter("token IS NOT NULL").select("token", "c")
     left = FREQUENT_MOST
     from_count = FREQUENT_FROM
     tail = counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()  # a row a count, bounded
@@ -346,8 +379,15 @@ def frequent_tokens(table: DataFrame) -> np.ndarray:
         if left < 0:
             from_count = r.c + 1
             break
-    rows = counts.filter(F.col("c") >= from_count).select("token").toPandas()["token"].to_numpy(dtype=np.int64)
-    return np.sort(rows.view(_U))
+
+    def packed(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"tokens": [batch["token"].to_numpy(dtype=np.int64).tobytes()]})
+
+    rows = counts.filter(F.col("c") >= from_count).select("token").mapInPandas(packed, "tokens binary").collect()  # 8 bytes a token
+    return np.sort(np.frombuffer(b"".join(r.tokens for r in rows), dtype=_U))
 
 
 def meetings(docs: DataFrame, text_col: str, width: int, percent: int, frequent: np.ndarray, parts: int) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -165,3 +166,27 @@ def test_components(spark):
     for a, b in edges:
         up[max(root(a), root(b))] = min(root(a), root(b))
     assert got == {x: root(x) for e in edges for x in e if e[0] != e[1]}
+
+
+def test_every_token_is_counted(spark, monkeypatch):
+    """Of all documents, also where each chunk has a token once; equal sets of a chunk count once."""
+    monkeypatch.setattr(setjoin, "PART_BYTES", 1000)
+    rnd = random.Random(10)
+    passages = [f"passage {k} of five words" for k in range(12)]
+    rows = [(i, " ".join([p for k, p in enumerate(passages) if i % 12 <= k] + [f"w{rnd.randrange(10**6)}" for _ in range(6)])) for i in range(48)] + [(100, None), (101, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(48)
+    want = Counter(t for _, text in rows for t in {int(x) for x in setjoin.token_sets([text])[0]})
+    table = setjoin.profiles(df, "doc_id", "text", 5)
+    got = {int(np.int64(r.token).view(np.uint64)): r.c for r in table.filter("token IS NOT NULL").collect()}
+    assert got == {t: c for t, c in want.items() if c >= setjoin.FREQUENT_FROM} and len(set(got.values())) > 3
+    assert setjoin.frequent_tokens(table).tolist() == sorted(got)
+    assert table.filter("n IS NOT NULL").count() == len(rows)
+    most = sorted(want.values(), reverse=True)[4]
+    monkeypatch.setattr(setjoin, "FREQUENT_MOST", sum(c > most for c in want.values()) + 1)
+    assert setjoin.frequent_tokens(table).tolist() == sorted(t for t, c in want.items() if c > most)
+
+
+def test_large_ids_beside_one_that_is_null(spark):
+    rows = [((1 << 60) + i, f"a b c d e {i // 2}") for i in range(1, 9)] + [(None, "f g h i j"), (None, None)]
+    got = setjoin.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {None: None} | {(1 << 60) + i: (1 << 60) + max(1, i // 2 * 2) for i in range(1, 9)}
