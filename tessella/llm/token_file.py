@@ -213,30 +213,35 @@ class LibraryEncoder(bpe.TrieBpe):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.opens = np.array([b[:1] == b" " for b in self.bytes_of])  # tokens that begin with a space
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Packed ids of distinct pieces.
 
-        Pieces that begin with one space and end in none go to the library many at
-        a time, as one text, and the tokens' offsets tell them apart again.
+        Pieces whose only space is their first character, and that end in no white space,
+        go to the library many at a time, as one text.  As many tokens of it begin with a
+        space as there are pieces, so these tokens tell the pieces apart again; else
+        the group is encoded piece by piece.
         """
         joint, single = [], []
         for piece in pieces:
-            (joint if len(piece) > 1 and piece[0] == " " and not piece[1].isspace() and not piece[-1].isspace() and len(piece) < 200 else single).append(piece)
+            (joint if len(piece) > 1 and piece.rfind(" ") == 0 and not piece[1].isspace() and not piece[-1].isspace() and len(piece) < 200 else single).append(piece)
         found: dict[str, bytes] = {}
+        for i in range(0, len(joint), 20_000):
+            groups = [joint[j : j + 200] for j in range(i, min(i + 20_000, len(joint)), 200)]
+            for group, code in zip(groups, self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
+                ids = np.array(code.ids, dtype="<u4")
+                cut = np.flatnonzero(self.opens[ids])
+                if len(cut) != len(group):
+                    single += group
+                    continue
+                packed, cut = ids.tobytes(), [*(cut * 4).tolist(), 4 * len(ids)]
+                for piece, a, b in zip(group, cut, cut[1:], strict=False):
+                    found[piece] = packed[a:b]
         for i in range(0, len(single), 20_000):
             part = single[i : i + 20_000]
             for piece, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 found[piece] = struct.pack(f"<{len(ids := code.ids)}I", *ids)
-        for i in range(0, len(joint), 20_000):
-            groups = [joint[j : j + 200] for j in range(i, min(i + 20_000, len(joint)), 200)]
-            for group, code in zip(groups, self.tokenizer.encode_batch(list(map("".join, groups)), add_special_tokens=False), strict=True):
-                ids = np.array(code.ids, dtype="<u4").tobytes()
-                starts = [a for a, _ in code.offsets]
-                ends = np.cumsum([len(piece) for piece in group])
-                cut = [0, *(np.searchsorted(starts, ends) * 4).tolist()]
-                for piece, a, b in zip(group, cut, cut[1:], strict=False):
-                    found[piece] = ids[a:b]
         return found
 
 

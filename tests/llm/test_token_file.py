@@ -60,3 +60,13 @@ def test_round_trip(spark):
     named = list(one.documents())
     for i in (0, len(one) - 1, len(one) // 2):
         assert one.document(i).tolist() == named[i][2].tolist()
+
+
+def test_pieces_are_told_apart_by_their_spaces():
+    tool = token_file.LibraryEncoder(vocabulary())
+    alone = lambda piece: np.array(tool.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    pieces = {f" {w}" for w in ("the", "a,b", "x\ty", "line\nnext", "12.5", "don't", "É", "\u4f60\u597d", "a\u00a0b", "z" * 150)} | {"plain", " ", "  ", " two words", " end\n", " \t", " " + "q" * 300}
+    want = {piece: alone(piece) for piece in pieces}
+    assert tool.encode_pieces(pieces) == want
+    tool.opens = np.zeros_like(tool.opens)  # no group can be told apart
+    assert tool.encode_pieces(pieces) == want
