@@ -140,6 +140,18 @@ def token_sets(texts: list[str | None], width: int = 5, wide: bool = False) -> l
     return out
 
 
+def _few(texts: list[str | None], width: int, wide: bool = False) -> Iterator:
+    """As :func:`token_sets`, the sets of `HELD_TEXTS` texts at a time."""
+    for i in range(0, len(texts), HELD_TEXTS):
+        yield from token_sets(texts[i : i + HELD_TEXTS], width, wide)
+
+
+def _rest() -> None:
+    """At the end of a task: a worker may be idle for long, so it keeps no powers."""
+    worker_cache("set join").clear()
+    give_back()
+
+
 def digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -333,7 +345,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     held, size = {}, 0
         yield dealt(held)
         del held
-        give_back()
+        _rest()
 
     def count(batches):
         import pandas as pd
@@ -414,7 +426,7 @@ def meetings(docs: DataFrame, text_col: str, width: int, percent: int, frequent:
 
         keys, sizes, sigs, known, count = [], [], [], set(), 0
         for batch in batches:
-            for s in token_sets(batch["text"].tolist(), width):
+            for s in _few(batch["text"].tolist(), width):
                 if len(s) and (key := digest(s)) not in known:
                     known.add(key)
                     keys.append(key)
@@ -428,7 +440,7 @@ def meetings(docs: DataFrame, text_col: str, width: int, percent: int, frequent:
         if keys:
             yield dealt(keys, sizes, sigs)
         del keys, sizes, sigs, known
-        give_back()
+        _rest()
 
     def gather(rows):
         import pandas as pd
@@ -475,12 +487,13 @@ def sets_of(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> Da
 
         for batch in batches:
             rows = {}
-            for s, more in token_sets(batch["text"].tolist(), width, wide=True):
+            for s, more in _few(batch["text"].tolist(), width, wide=True):
                 if len(s) and (key := digest(s)) not in rows:
                     p = xxhash.xxh64_intdigest(key, 42) % bits  # as Spark's xxhash64
                     if shared.value[p >> 5] >> np.uint32(p & 31) & np.uint32(1):
                         rows[key] = s.astype("<u8").tobytes() + more.astype("<u8").tobytes()
             yield pd.DataFrame({"key": list(rows), "tokens": list(rows.values())})
+        _rest()
 
     found = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "key binary, tokens binary")
     return found.groupBy("key").agg(F.first("tokens").alias("tokens"))
