@@ -8,6 +8,12 @@ shorter where the window resembles toxic text more than ordinary text, so ordina
 words cost the same either way.  Both are loaded as trained dictionaries, with the
 entropy tables of the ordinary one, and the optimal parser makes lengths comparable.
 
+A window can only be shorter after both if the toxic part has a longer match for some
+place of it than the ordinary part, which is nearer and so cheaper.  It then holds one
+of the *telling strings*: those that begin in the toxic part, aren't in the ordinary one,
+and would be without their last byte (or have the `SHORTEST` bytes that a match needs).
+Windows without any gain 0 and aren't compressed; in calibration it is the same.
+
 The dictionaries are trained on the whole sample.  Two thresholds are calibrated on
 the same texts, each compressed with dictionaries of the `PARTS` - 1 parts of the
 sample that it isn't in: how many bytes a window must gain to count, and what share of
@@ -22,6 +28,7 @@ train on, every score is the share of toxic documents among the labelled (0 if n
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -42,13 +49,17 @@ SHRINK = 30
 PARTS = 4
 #: Bytes of the dictionaries, at most one part of so many of their text; and bytes of a training sample.
 TOXIC_BYTES, ORDINARY_BYTES, PART_OF_TEXT, SAMPLE = 4096, 112_640, 8, 400
-#: The compression level of the optimal parser.
-LEVEL = 16
+#: The compression level of the optimal parser, and bytes of its shortest match in a dictionary.
+LEVEL, SHORTEST = 16, 5
+#: Bytes of text that is searched at a time, and that is cut into windows at a time.
+SEARCHED, CUT = 1 << 18, 1 << 22
+#: Bits of a table's index, and the factor of its hash.
+TABLE_BITS, FACTOR = 20, np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(text: str | None) -> bytes:
     """UTF-8 with A-Z lower-cased, words preceded by one space each."""
-    return b"".join(b" " + w for w in (text or "").encode("utf-8", "replace").lower().split())
+    return b" ".join([b"", *(text or "").encode("utf-8", "replace").lower().split()])
 
 
 def windows(data: bytes, size: int = WINDOW) -> list[bytes]:
@@ -88,6 +99,21 @@ def header_size(book: bytes) -> int:
     return low - 8
 
 
+def telling(toxic: bytes, ordinary: bytes) -> list[bytes]:
+    """The telling strings up to `WINDOW` bytes; they may run on from the toxic part into the ordinary one, which follows it."""
+    whole, found = toxic + ordinary[: WINDOW - 1], set()
+    for at in range(len(toxic)):
+        for end in range(at + SHORTEST, min(at + WINDOW, len(whole)) + 1):
+            if whole[at:end] not in ordinary:
+                found.add(whole[at:end])
+                break
+    return sorted(found)
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes * FACTOR) >> np.uint64(64 - TABLE_BITS)
+
+
 @dataclass
 class Model:
     """Dictionaries and thresholds; small, so it travels with the tasks."""
@@ -97,24 +123,94 @@ class Model:
     gain: int = 0
     shares: np.ndarray = field(default_factory=lambda: np.zeros(1))
     chances: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    told: list[bytes] = field(default_factory=list)  # the telling strings
 
     def __post_init__(self):
-        self._pair = None
+        self._pair = self._tables = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_pair": None}
-
-    def gains(self, text: str | None) -> np.ndarray:
-        """Bytes by which the toxic dictionary shortens each window of the whole text."""
+        return self.__dict__ | {"_pair": None, "_tables": None}
+
+    def _load(self) -> None:
+        self._pair = _loaded(self.ordinary).compress, _loaded(self.both).compress
+        number = partial(int.from_bytes, byteorder="little")
+        long: dict[int, tuple[bytes, ...]] = {}  # by the first 8 bytes
+        for x in self.told:
+            if len(x) > 8:
+                long[number(x[:8])] = (*long.get(number(x[:8]), ()), x)
+        sizes = {n: np.array([number(x) for x in self.told if len(x) == n], dtype=np.uint64) for n in range(SHORTEST, 9)}
+        tables = [np.zeros(1 << TABLE_BITS, dtype=bool) for _ in range(2)]  # by hash of the first bytes, and of all up to 8
+        tables[0][_slot(np.array([number(x[:SHORTEST]) for x in self.told], dtype=np.uint64))] = True
+        tables[1][_slot(np.array([number(x[:8]) for x in self.told], dtype=np.uint64))] = True
+        self._tables = *tables, sizes, np.array(sorted(long), dtype=np.uint64), long
+
+    def _places(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where telling strings begin and end, in no order."""
+        first, whole, sizes, heads, long = self._tables
+        mask = lambda size: np.uint64((1 << 8 * size) - 1)
+        starts, ends = [np.zeros(0, dtype=int)], [np.zeros(0, dtype=int)]
+        for at in range(0, len(data), SEARCHED):
+            part, n = data[at : at + SEARCHED + 8] + bytes(16), min(SEARCHED, len(data) - at)
+            codes = np.empty(n, dtype=np.uint64)  # the 8 bytes from each place on
+            for i in range(min(8, n)):
+                codes[i::8] = np.frombuffer(part, dtype="<u8", count=(n - i + 7) // 8, offset=i)
+            hits = np.flatnonzero(first[_slot(codes & mask(SHORTEST))])
+            near = codes[hits]
+
+            def among(codes: np.ndarray, told: np.ndarray) -> np.ndarray:
+                likely = np.flatnonzero(whole[_slot(codes)])
+                return likely[np.isin(codes[likely], told)]
+
+            for size, told in sizes.items():
+                sure = hits[among(near & mask(size), told)] + at
+                starts.append(sure)
+                ends.append(sure + size)
+            sure = among(near, heads)
+            found = [(i, i + len(x)) for i, head in zip((hits[sure] + at).tolist(), near[sure].tolist(), strict=True) for x in long[head] if data.startswith(x, i)]
+            starts.append(np.array([a for a, _ in found], dtype=int))
+            ends.append(np.array([b for _, b in found], dtype=int))
+        return np.concatenate(starts), np.concatenate(ends)
+
+    def _gains(self, cut: list[list[bytes]]) -> Iterator[np.ndarray]:
+        held = [w for ws in cut for w in ws]
+        bounds = np.cumsum([0, *map(len, held)])
+        starts, ends = self._places(b"".join(held))
+        where = np.searchsorted(bounds, starts, side="right") - 1
+        told = np.unique(where[ends <= bounds[where + 1]]).tolist()
+        sizes = []
+        for compress in self._pair:  # one after the other, as both dictionaries' tables don't fit a core's cache
+            known = dict.fromkeys(map(held.__getitem__, told))
+            for w in known:
+                known[w] = len(compress(w))
+            sizes.append(np.array([known[held[i]] for i in told], dtype=int))
+        gains = np.zeros(len(held), dtype=int)
+        gains[told] = sizes[0] - sizes[1]
+        at = 0
+        for ws in cut:
+            yield gains[at : at + len(ws)]
+            at += len(ws)
+
+    def gains(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Bytes by which the toxic dictionary shortens each window of each whole text; memory is bounded by `CUT` and the longest text."""
         if self._pair is None:
-            self._pair = _loaded(self.ordinary).compress, _loaded(self.both).compress
-        plain, toxic = self._pair
-        return np.array([len(plain(w)) - len(toxic(w)) for w in windows(normal(text))])
+            self._load()
+        cut, size = [], 0
+        for text in texts:
+            cut.append(windows(data := normal(text)))
+            size += len(data)
+            if size >= CUT:
+                yield from self._gains(cut)
+                cut, size = [], 0
+        if cut:
+            yield from self._gains(cut)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if not self.both:
+            return np.full(len(texts), float(self.chances[0]))
+        return np.interp([share(g, self.gain) for g in self.gains(texts)], self.shares, self.chances)
 
     def score(self, text: str | None) -> float:
-        if not self.both:
-            return float(self.chances[0])
-        return float(np.interp(share(self.gains(text), self.gain), self.shares, self.chances))
+        return float(self.scores([text])[0])
 
 
 def share(gains: np.ndarray, least: int) -> float:
@@ -152,8 +248,8 @@ def _books(ordinary: list[bytes], toxic: list[bytes]) -> Model | None:
     plain, marked = _trained(ordinary, ORDINARY_BYTES, 32), _trained(toxic, TOXIC_BYTES, 12)
     if plain is None or marked is None:
         return None
-    cut = header_size(plain)
-    return Model(plain, plain[:cut] + marked[header_size(marked) :] + plain[cut:])
+    cut, content = header_size(plain), marked[header_size(marked) :]
+    return Model(plain, plain[:cut] + content + plain[cut:], told=telling(content, plain[cut:]))
 
 
 def train(rows: list[tuple[str | None, int]], counts: dict[int, int] | None = None) -> Model:
@@ -172,7 +268,8 @@ def train(rows: list[tuple[str | None, int]], counts: dict[int, int] | None = No
     model, others = without(None), [without(part) for part in range(PARTS)]
     if model is None or any(m is None for m in others):
         return Model(chances=np.array([rate]))
-    held = [(others[part].gains(t), k) for part, k, t in texts]
+    by_part = [others[part].gains([t for p, _, t in texts if p == part]) for part in range(PARTS)]
+    held = [(next(by_part[part]), k) for part, k, _ in texts]
     y = np.array([k for _, k in held], dtype=float)
     weight = np.array([counts[k] / len(by[k]) for _, k in held])
     tried = [(isotonic(np.array([share(g, least) for g, _ in held]), y, weight), least) for least in GAINS]
@@ -217,6 +314,6 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
         import pandas as pd
 
         worker_cache("toxicity")
-        return pd.Series([book.value.score(t) for t in texts.tolist()], dtype="float64")
+        return pd.Series(book.value.scores(texts.tolist()), dtype="float64")
 
     return docs.withColumn(out_col, toxicity(F.col(text_col)))

@@ -149,6 +149,30 @@ def test_windows_cover_the_whole_text():
         assert b"".join(toxicity.windows(data)) == data
 
 
+def test_only_windows_with_telling_strings_are_compressed(monkeypatch):
+    """Windows that no telling string is in gain nothing, told by compressing them all; each string is found wherever it lies."""
+    rnd = random.Random(4)
+    common, marked = ([f"{a}{b}" for a in x.split() for b in y.split()] for x, y in (("ri sto clo pa fie gla", "ver ne ud per ld ss"), ("vi na aw ba", "le sty ful d")))
+    phrases = [[rnd.choice(common) for _ in range(10)] for _ in range(60)]
+    texts = [" ".join(rnd.choice(marked) if i % 8 == 0 and j % 5 == 0 else x for j, x in enumerate(sum(rnd.choices(phrases, k=6), []))) for i in range(900)]
+    model = toxicity.train([(t, int(i % 8 == 0)) for i, t in enumerate(texts)])
+    texts += [None, "", "x", " ".join(rnd.choice(marked) for _ in range(60)), "\0" * 90, *(x.decode() for x in model.told if x.isascii())]
+    list(model.gains(texts[:1]))
+    (plain, toxic), calls = model._pair, []
+    model._pair = (lambda w: calls.append(w) or plain(w)), toxic
+    found = list(model.gains(texts))
+    cut = [toxicity.windows(toxicity.normal(t)) for t in texts]
+    assert [len(g) for g in found] == [len(ws) for ws in cut]
+    assert [g.tolist() for g in found] == [[len(plain(w)) - len(toxic(w)) for w in ws] for ws in cut]
+    assert set(calls) == {w for ws in cut for w in ws if any(x in w for x in model.told)} and len(calls) == len(set(calls)) < sum(map(len, cut)) * 0.6
+    data = b"".join(sum(cut, []))
+    pairs = lambda: sorted(zip(*(x.tolist() for x in model._places(data)), strict=True))
+    want = pairs()
+    for size in (7, 1000):
+        monkeypatch.setattr(toxicity, "SEARCHED", size)
+        assert pairs() == want
+
+
 def test_training_takes_place_outside_the_driver(spark, monkeypatch):
     """Neither the sample nor what training takes is in the driver's memory."""
     ident = spark.createDataFrame([(i, f"the house of number {i} and the garden" if i % 2 else f"das Haus der Nummer {i} und der Garten", "en" if i % 2 else "de") for i in range(200)], "doc_id long, text string, lang string")
