@@ -40,8 +40,11 @@ CACHE_WORDS, CACHE_WORD_CHARS = 1_500_000, 60
 TRIE_CHARS = 1_000_000
 #: White space other than the space, before a space: there a cut at spaces may not be one between words.
 BREAKS = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 32))
-ASCII_BREAKS = tuple(x for x in BREAKS if x.isascii())
-#: After one of those a space that white space follows.
+#: All of those that a text can have whose characters are printable but for line breaks: no other white space is.
+PLAIN_BREAKS = ("\n ", "  ")
+#: Marks that are words at the end of a piece.
+MARKS = ".,;:!?"
+#: After one of those breaks a space that white space follows.
 TANGLED = re.compile(r"\s \s|  ")
 
 
@@ -62,8 +65,9 @@ def _pack(ids: list[int]) -> bytes:
 class TrieBpe:
     """Encoder and decoder for a byte-level BPE vocabulary file (``tokenizer.json``)."""
 
-    #: Pieces that a worker remembers, if other than `CACHE_WORDS`.
+    #: Pieces that a worker remembers, if other than `CACHE_WORDS`, and characters of text that are cut at a time, if other than `TRIE_CHARS`.
     most_known: int | None = None
+    cut_chars: int | None = None
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -107,14 +111,13 @@ class TrieBpe:
         Words that hold one are split by the tokenizers library, whose tables lie
         between those and Python's own.
         """
-        word = regex.compile(r"[\p{L}\p{N}]")
         runs: list[list[int]] = []
-        for c in range(0x80, 0x110000):
-            if unicodedata.category(char := chr(c)) == "Cn" and word.match(char):
-                if runs and runs[-1][1] == c - 1:
-                    runs[-1][1] = c
+        for char in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(0x80, 0x110000)))):
+            if unicodedata.category(char) == "Cn":
+                if runs and runs[-1][1] == ord(char) - 1:
+                    runs[-1][1] += 1
                 else:
-                    runs.append([c, c])
+                    runs.append([ord(char)] * 2)
         return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]") if runs else None
 
     def merge(self, data: bytes) -> list[int]:
@@ -225,7 +228,7 @@ class TrieBpe:
             for i, part in enumerate(self.cut.split(text)):
                 out.append((self._plain, [part] if i % 2 else self._words(part)))
             return out
-        for mark in ASCII_BREAKS if text.isascii() else BREAKS:
+        for mark in PLAIN_BREAKS if text.replace("\n", "").isprintable() else BREAKS:
             if mark in text:
                 if TANGLED.search(text):
                     return [(self._plain, self._words(text))]
@@ -237,35 +240,30 @@ class TrieBpe:
         """The packed ids of each text, in order; memory is bounded by `TRIE_CHARS` and the longest text."""
         held, chars = [], 0
         for text in texts:
-            held.append([(table, pieces, list(map(table.get, pieces))) for table, pieces in self._cut(text or "")])
+            held.append(self._cut(text or ""))
             chars += len(text or "")
-            if chars >= TRIE_CHARS:
+            if chars >= (self.cut_chars or TRIE_CHARS):
                 yield from self._join(held)
                 held, chars = [], 0
         yield from self._join(held)
 
-    def _join(self, held: list[list[tuple[dict, list[str], list]]]) -> Iterator[bytes]:
-        gaps, fresh = [], set()
-        for table, pieces, packed in (part for parts in held for part in parts):
-            if None in packed:
-                space = " " if table is self._after else ""
-                i = -1
-                for _ in range(packed.count(None)):
-                    i = packed.index(None, i + 1)
-                    piece = space + pieces[i]
-                    fresh.add(piece)
-                    gaps.append((packed, i, piece))
-        if fresh:
-            if len(self._after) + len(self._plain) > (self.most_known or CACHE_WORDS):
-                self._forget()
-            found = self.encode_pieces(fresh)
-            for piece, ids in found.items():
-                self._remember(piece, ids)
-            for packed, i, piece in gaps:
-                packed[i] = found[piece]
+    def _join(self, held: list[list[tuple[dict, list[str]]]]) -> list[bytes]:
+        """The packed ids of each text: what isn't known of all is encoded and told the tables, so that each piece is one look-up."""
+        if len(self._after) + len(self._plain) > (self.most_known or CACHE_WORDS):
+            self._forget()
+        fresh = [(table, space, list(set().union(*[pieces for parts in held for t, pieces in parts if t is table]).difference(table))) for table, space in ((self._after, " "), (self._plain, ""))]
+        named = [[space + piece for piece in pieces] if space else pieces for _, space, pieces in fresh]
+        if any(named):
+            found = self.encode_pieces(set().union(*named))
+            for (table, _, pieces), names in zip(fresh, named, strict=True):
+                table.update(zip(pieces, map(found.__getitem__, names), strict=True))
         join = b"".join
-        for parts in held:
-            yield join([join(packed) for _, _, packed in parts])
+        out = [join([join(map(table.__getitem__, pieces)) for table, pieces in parts]) for parts in held]
+        for table, _, pieces in fresh:
+            for piece in pieces:
+                if len(piece) > CACHE_WORD_CHARS:
+                    del table[piece]
+        return out
 
     def _forget(self) -> None:
         self._after.clear()
@@ -296,7 +294,7 @@ class TrieBpe:
         for i, line in enumerate(lines):
             if i:
                 out.append("\n")
-            if len(line) > 2 and line[-1] in ".,;:!?" and line[-2].isalpha():
+            if len(line) > 2 and line[-1] in MARKS and line[-2].isalpha():
                 out.append(line[:-1])
                 out.append(line[-1])
             else:
@@ -308,12 +306,21 @@ class TrieBpe:
         was_on = gc.isenabled()
         gc.disable()  # a trie has millions of nodes and no cycles
         try:
-            split = {piece: self._parts(piece) for piece in pieces}
-            coded = {part: self._recall(part) for parts in split.values() for part in parts}
-            coded |= (fresh := self.encode_new([part for part, known in coded.items() if known is None]))
-            for part, packed in fresh.items():
-                self._remember(part, packed)
-            return {piece: coded[parts[0]] if len(parts) == 1 else b"".join(map(coded.__getitem__, parts)) for piece, parts in split.items()}
+            whole, split = [], {}
+            for piece in pieces:
+                if ("\n" in piece or piece[-1:] in MARKS) and len(parts := self._parts(piece)) > 1:
+                    split[piece] = parts
+                else:
+                    whole.append(piece)
+            coded = {part: self._recall(part) for part in set().union(*split.values())}
+            parts = [part for part, known in coded.items() if known is None]
+            fresh = self.encode_new(list({*whole, *parts}))
+            for part in parts:
+                coded[part] = fresh[part]
+                self._remember(part, fresh[part])
+            found = {piece: b"".join(map(coded.__getitem__, parts)) for piece, parts in split.items()}
+            found.update(zip(whole, map(fresh.__getitem__, whole), strict=True))
+            return found
         finally:
             if was_on:
                 gc.enable()

@@ -201,7 +201,7 @@ class Reader:
 class LibraryEncoder(bpe.TrieBpe):
     """The same cut of texts into recurring pieces; the tokenizers library encodes the distinct ones."""
 
-    most_known = 1_500_000
+    most_known, cut_chars = 1_500_000, 300_000
 
     def __init__(self, path: str):
         import os
@@ -213,18 +213,20 @@ class LibraryEncoder(bpe.TrieBpe):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        if resize := getattr(self.tokenizer.model, "_resize_cache", None):
+            resize(0)  # it gets no word twice
         self.opens = np.array([b[:1] == b" " for b in self.bytes_of])  # tokens that begin with a space
 
-    def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Packed ids of distinct pieces.
+    def encode_new(self, parts: list[str]) -> dict[str, bytes]:
+        """Packed ids of distinct pieces or parts of them.
 
-        Pieces whose only space is their first character, and that end in no white space,
+        Those whose only space is their first character, and that end in no white space,
         go to the library many at a time, as one text.  As many tokens of it begin with a
         space as there are pieces, so these tokens tell the pieces apart again; else
         the group is encoded piece by piece.
         """
         joint, single = [], []
-        for piece in pieces:
+        for piece in parts:
             (joint if len(piece) > 1 and piece.rfind(" ") == 0 and not piece[1].isspace() and not piece[-1].isspace() and len(piece) < 200 else single).append(piece)
         found: dict[str, bytes] = {}
         for i in range(0, len(joint), 20_000):

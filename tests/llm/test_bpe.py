@@ -57,3 +57,11 @@ def test_query_over_frame(spark, library):
     assert bpe.round_trip(df.limit(0), vocabulary()).count() == 0
     packed = bpe.encode(df, vocabulary()).filter("doc_id = 4").first()
     assert np.frombuffer(packed.token_ids, dtype="<u4").tolist() == library.encode("a", add_special_tokens=False).ids
+
+
+def test_every_white_space_before_a_space(library):
+    own = bpe.TrieBpe(vocabulary())
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() or not chr(c).isprintable()][:400]
+    for c in [*spaces, *(mark[0] for mark in bpe.BREAKS)]:
+        for text in (f"a{c} b", f"\u00e9{c} {c}b", f"a\n{c} \u4e2d c", f"x {c}y", f"{c} "):
+            assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, (hex(ord(c)), text)

@@ -70,3 +70,16 @@ def test_pieces_are_told_apart_by_their_spaces():
     assert tool.encode_pieces(pieces) == want
     tool.opens = np.zeros_like(tool.opens)  # no group can be told apart
     assert tool.encode_pieces(pieces) == want
+
+
+def test_words_and_marks_of_pieces_are_encoded_once():
+    tool = token_file.LibraryEncoder(vocabulary())
+    seen, encode_new = [], tool.encode_new
+    tool.encode_new = lambda parts: seen.extend(parts) or encode_new(parts)
+    texts = ["a river stone", "a river, stone.\nriver stone", "stone! river", "z" * 90 + " " + "y" * 90 + ". river.", None, "\u00e9\u3000 x", " river  stone,", "a<|endoftext|> river."]
+    for text in texts:
+        ids = tool.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert tool.encode(text) == ids == tool.encode(text)
+        if text == texts[1]:
+            assert sorted(seen) == sorted(["a", " river", " stone", ",", ".", "\n", "river"])
+    assert max(map(len, [*tool._plain, *tool._after])) <= 60  # long pieces aren't kept
