@@ -5,9 +5,9 @@ prefixes: the encoding of a prefix ends in exactly one token `t`, which is a
 suffix of the prefix, and what stands before it is the encoding of the shorter
 prefix.  `t` is the one suffix token whose pair with the last token of that
 shorter prefix survives encoding as it is.  So one *last-token state* per prefix
-is enough.  The distinct words of a batch go into a trie; a depth-first walk
-computes the state of every node once, so words with a common beginning share
-its work; a word's ids are read backwards along the states of its path.
+is enough.  The distinct words of a batch form a trie; a depth-first walk, which is
+their sorted order, computes the state of every node once, so words with a common
+beginning share its work; a word's ids are read backwards along the states of its path.
 
 Nulls count as empty texts, empty texts have no tokens, and repeated rows give
 repeated results.  Extra columns are not read.
@@ -22,6 +22,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import regex
@@ -36,6 +37,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: Words whose ids a worker remembers before it starts afresh, and characters of
 #: the longest such word; both bound memory only.
 CACHE_WORDS, CACHE_WORD_CHARS = 1_500_000, 60
+#: Pairs of tokens of which a worker remembers whether they stay apart.
+PAIRS = 500_000
 #: Characters of text whose words are put into one trie.
 TRIE_CHARS = 1_000_000
 #: White space other than the space, before a space: there a cut at spaces may not be one between words.
@@ -100,6 +103,7 @@ class TrieBpe:
         self.path = path
         self._library = None
         self._whole: dict[int, bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._after: dict[str, bytes] = {}
         self._plain: dict[str, bytes] = {}
         self._forget()
@@ -161,50 +165,54 @@ class TrieBpe:
                 return True
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids of each distinct word, packed as little-endian unsigned 32-bit integers."""
-        words = list(words)
-        root: dict = {}
-        for word in words:
-            node = root
-            for byte in word.encode():
-                child = node.get(byte)
-                if child is None:
-                    child = node[byte] = {}
-                node = child
-            node[-1] = word
+        """Ids of each distinct word, packed as little-endian unsigned 32-bit integers.
+
+        In sorted order words are the leaves of the trie from left to right, so a list by
+        depth holds the states on the way to a word, and those of the beginning that it
+        shares with the word before stay.
+        """
+        held = sorted((word.encode(), word) for word in words)
         found: dict[str, bytes] = {"": b""}
-        deepest = max((len(w) for w in map(str.encode, words)), default=0)
-        # by depth: bytes of the path, the last token and its length, and how far back a token under way may begin
-        path, last, size, reach = bytearray(deepest), [0] * (deepest + 1), [0] * (deepest + 1), [0] * (deepest + 1)
-        state, stands, follows = self.starts.get, self._stands, self._follows
-        stack = [(byte, child, 0) for byte, child in root.items() if byte >= 0]
-        push, pop = stack.append, stack.pop
-        while stack:
-            byte, node, above = pop()
-            path[above] = byte
-            depth = above + 1
-            start = above - reach[above]
-            token = state(tail := bytes(path[start:depth]))
-            while token is None:
-                start += 1
-                token = state(tail := tail[1:])
-            reach[depth] = depth - start
-            while True:
-                if token is not None and token >= 0 and (follows(last[start], token) if start else stands(token)):
-                    last[depth], size[depth] = token, depth - start
+        deepest = max((len(data) for data, _ in held), default=0)
+        # by depth on the path of the word before: the last token, where it begins, and where a token under way may begin
+        last, start_of, reach = [0] * (deepest + 1), [0] * (deepest + 1), [0] * (deepest + 1)
+        state, stands, follows, pairs = self.starts.get, self._stands, self._follows, self._pairs
+        if len(pairs) > PAIRS:
+            pairs.clear()
+        shift = len(self.bytes_of)
+        before = b""
+        for data, word in held:
+            shared = 0
+            for a, b in zip(before, data):  # noqa: B905 - up to the end of the shorter
+                if a != b:
                     break
-                start += 1
-                token = state(tail := tail[1:])
-            for byte, child in node.items():
-                if byte >= 0:
-                    push((byte, child, depth))
-                else:
-                    at, back = depth, []
-                    while at:
-                        back.append(last[at])
-                        at -= size[at]
-                    back.reverse()
-                    found[child] = _pack(back)
+                shared += 1
+            before = data
+            start = reach[shared]
+            for depth in range(shared + 1, len(data) + 1):
+                while (token := state(data[start:depth])) is None:
+                    start += 1
+                at = reach[depth] = start
+                while True:
+                    if token is not None and token >= 0:
+                        if not at:
+                            if stands(token):
+                                break
+                        else:
+                            pair = last[at] * shift + token
+                            if (apart := pairs.get(pair)) is None:
+                                apart = pairs[pair] = follows(last[at], token)
+                            if apart:
+                                break
+                    at += 1
+                    token = state(data[at:depth])
+                last[depth], start_of[depth] = token, at
+            at, back = len(data), []
+            while at:
+                back.append(last[at])
+                at = start_of[at]
+            back.reverse()
+            found[word] = _pack(back)
         return found
 
     def _words(self, text: str) -> list[str]:
@@ -249,8 +257,8 @@ class TrieBpe:
 
     def _join(self, held: list[list[tuple[dict, list[str]]]]) -> list[bytes]:
         """The packed ids of each text: what isn't known of all is encoded and told the tables, so that each piece is one look-up."""
-        if len(self._after) + len(self._plain) > (self.most_known or CACHE_WORDS):
-            self._forget()
+        if len(self._after) + len(self._plain) > (most := self.most_known or CACHE_WORDS):
+            self._forget(most // 4)
         fresh = [(table, space, list(set().union(*[pieces for parts in held for t, pieces in parts if t is table]).difference(table))) for table, space in ((self._after, " "), (self._plain, ""))]
         named = [[space + piece for piece in pieces] if space else pieces for _, space, pieces in fresh]
         if any(named):
@@ -265,9 +273,12 @@ class TrieBpe:
                     del table[piece]
         return out
 
-    def _forget(self) -> None:
-        self._after.clear()
-        self._plain.clear()
+    def _forget(self, kept: int = 0) -> None:
+        """Drop all pieces but the `kept` that came first, which recur most."""
+        for table in (self._after, self._plain):
+            first = list(islice(table.items(), kept))
+            table.clear()
+            table.update(first)
         self._plain.update({s: struct.pack("<I", i) for s, i in self.special.items()})
 
     def _remember(self, piece: str, packed: bytes) -> None:
@@ -304,7 +315,7 @@ class TrieBpe:
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Packed ids of distinct pieces; only the parts that aren't known are encoded."""
         was_on = gc.isenabled()
-        gc.disable()  # a trie has millions of nodes and no cycles
+        gc.disable()  # many lists and no cycles
         try:
             whole, split = [], {}
             for piece in pieces:
@@ -327,7 +338,7 @@ class TrieBpe:
 
     def encode_new(self, parts: list[str]) -> dict[str, bytes]:
         """Packed ids of distinct parts: their distinct new words go through one trie."""
-        split = {part: self._words(part) for part in parts}
+        split = {part: [part] if part.isalpha() or (part[:1] == " " and part[1:].isalpha()) else self._words(part) for part in parts}
         coded = {word: self._recall(word) for word in set().union(*split.values())}
         fresh = self.encode_words([word for word, known in coded.items() if known is None])
         for word, packed in fresh.items():
