@@ -224,6 +224,18 @@ class TrieBpe:
             return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
         return self.words.findall(text)
 
+    def _uncut(self, text: str) -> list[str] | None:
+        """The words of a text that single spaces would cut inside of a word, or None."""
+        if self.special and any(s in text for s in self.special):
+            out = []
+            for i, part in enumerate(self.cut.split(text)):
+                out += [part] if i % 2 else self._words(part)
+            return out
+        for mark in PLAIN_BREAKS if text.replace("\n", "").isprintable() else BREAKS:
+            if mark in text:
+                return self._words(text) if TANGLED.search(text) else None
+        return None
+
     def _cut(self, text: str) -> list[tuple[dict, list[str]]]:
         """Cut a text at single spaces, or where that would cut a word, into words.
 
@@ -231,16 +243,8 @@ class TrieBpe:
         recur, and are looked up.  Comes with the table that knows the pieces:
         `_after` for pieces behind a space, which is left out, `_plain` for others.
         """
-        if self.special and any(s in text for s in self.special):
-            out = []
-            for i, part in enumerate(self.cut.split(text)):
-                out.append((self._plain, [part] if i % 2 else self._words(part)))
-            return out
-        for mark in PLAIN_BREAKS if text.replace("\n", "").isprintable() else BREAKS:
-            if mark in text:
-                if TANGLED.search(text):
-                    return [(self._plain, self._words(text))]
-                break
+        if (words := self._uncut(text)) is not None:
+            return [(self._plain, words)]
         first, *rest = text.split(" ")
         return [(self._plain, [first]), (self._after, rest)]
 

@@ -17,6 +17,7 @@ documents have only the end id; a table without rows has no files.
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 import uuid
@@ -24,6 +25,8 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,10 +201,23 @@ class Reader:
         self.file.close()
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The whole numbers of runs one after another: `sizes` from each of `starts` on."""
+    ends = np.cumsum(sizes)
+    out = np.repeat(starts - ends + sizes, sizes)
+    out += np.arange(len(out))
+    return out
+
+
 class LibraryEncoder(bpe.TrieBpe):
-    """The same cut of texts into recurring pieces; the tokenizers library encodes the distinct ones."""
+    """The same cut of texts into recurring pieces; the tokenizers library encodes the distinct ones.
+
+    Arrow cuts many texts at once and finds their distinct pieces, so only those
+    are looked up and encoded; the ids of all pieces are then gathered by number.
+    Its memory comes from the C library, which gives it back at once.
+    """
 
-    most_known, cut_chars = 1_500_000, 300_000
+    most_known, cut_chars = 1_500_000, 2_000_000
 
     def __init__(self, path: str):
         import os
@@ -217,6 +233,103 @@ class LibraryEncoder(bpe.TrieBpe):
             resize(0)  # it gets no word twice
         self.opens = np.array([b[:1] == b" " for b in self.bytes_of])  # tokens that begin with a space
 
+    def encode_packed(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The packed ids of each text, in order; memory is bounded by `cut_chars` and the longest text."""
+        plain, counts, rests, chars = [], [], [], 0
+        for text in texts:
+            text, rest = text or "", None
+            if (words := self._uncut(text)) is None:
+                first, space, rest = text.partition(" ")
+                words, rest = [first], rest if space else None
+            plain += words
+            counts.append(len(words))
+            rests.append(rest)
+            chars += len(text)
+            if chars >= self.cut_chars:
+                yield from self._gather(plain, counts, rests)
+                plain, counts, rests, chars = [], [], [], 0
+        yield from self._gather(plain, counts, rests)
+
+    def _gather(self, plain: list[str], counts: list[int], rests: list[str | None]) -> Iterator[bytes]:
+        """The packed ids of texts, each of which is `counts` of the `plain` pieces and the pieces of its rest, each behind a space."""
+        if not counts:
+            return
+        pool = pa.system_memory_pool()
+        behind = pc.split_pattern(pa.array(rests, pa.large_string(), memory_pool=pool), " ", memory_pool=pool)
+        n_plain, n_behind = np.array(counts, dtype=np.int64), pc.fill_null(pc.list_value_length(behind), 0).to_numpy().astype(np.int64)
+        first, ids_a, sizes_a = self._numbered(self._plain, "", pa.array(plain, pa.large_string(), memory_pool=pool))
+        other, ids_b, sizes_b = self._numbered(self._after, " ", behind.flatten())
+        ids, sizes = np.concatenate([ids_a, ids_b]), np.concatenate([sizes_a, sizes_b])
+        ends = np.cumsum(n_plain + n_behind)
+        at = _runs(ends - n_plain - n_behind, n_plain)
+        of, rest = np.empty(int(ends[-1]), dtype=np.int64), np.ones(int(ends[-1]), dtype=bool)
+        rest[at] = False
+        of[at], of[rest] = first, other + len(sizes_a)
+        long = sizes[of]
+        found = ids[_runs((np.cumsum(sizes) - sizes)[of], long)]
+        stops = np.r_[0, np.cumsum(long)][ends].tolist()  # each text has a piece
+        for a, b in zip([0, *stops], stops, strict=False):
+            yield found[a:b].tobytes()
+
+    def _numbered(self, table: dict[str, bytes], space: str, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each piece's number among the distinct ones, the ids of those one after another, and how many each has."""
+        coded = pc.dictionary_encode(pieces, memory_pool=pa.system_memory_pool())
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = list(map(table.get, names))
+        if new := [name for name, known in zip(names, packed, strict=True) if known is None]:
+            if len(self._after) + len(self._plain) + len(new) > self.most_known:
+                self._forget(self.most_known // 4)
+            fresh = iter(self._learnt(table, space, new))
+            packed = [next(fresh) if known is None else known for known in packed]
+        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        return coded.indices.to_numpy(), np.frombuffer(b"".join(packed), dtype="<u4"), sizes
+
+    def _learnt(self, table: dict[str, bytes], space: str, names: list[str]) -> list[bytes]:
+        """Packed ids of distinct pieces that the table lacks, which it is told.
+
+        Those that are no runs of parts come first, so the parts of others find them.
+        """
+        was_on = gc.isenabled()
+        gc.disable()  # many lists and no cycles
+        try:
+            split, whole, marked = {}, [], []
+            for name in names:
+                if name[-1:] not in bpe.MARKS and "\n" not in name:
+                    whole.append(name)
+                elif space and len(name) > 1 and "\n" not in name and name[-2].isalpha():
+                    marked.append(name)
+                elif len(parts := self._parts(space + name)) > 1:
+                    split[name] = parts
+                else:
+                    whole.append(name)
+            found = self._told(table, space, whole)
+            if marked:
+                stems = [name[:-1] for name in marked]
+                new = self._told(table, space, list(set(stems).difference(table)))
+                marks = {mark: self._recall(mark) or self._told(self._plain, "", [mark])[mark] for mark in {name[-1] for name in marked}}
+                found |= {name: (table.get(stem) or new[stem]) + marks[name[-1]] for name, stem in zip(marked, stems, strict=True)}
+            coded = {part: self._recall(part) for part in set().union(*split.values())}
+            if fresh := [part for part, known in coded.items() if known is None]:
+                for part, packed in self.encode_new(fresh).items():
+                    coded[part] = packed
+                    self._remember(part, packed)
+            found |= {name: b"".join(map(coded.__getitem__, parts)) for name, parts in split.items()}
+            table.update((name, found[name]) for name in [*marked, *split] if len(name) <= bpe.CACHE_WORD_CHARS)
+            return list(map(found.__getitem__, names))
+        finally:
+            if was_on:
+                gc.enable()
+
+    def _told(self, table: dict[str, bytes], space: str, names: list[str]) -> dict[str, bytes]:
+        """Packed ids of distinct pieces, encoded as they are; the table is told all but long ones."""
+        named = [space + name for name in names] if space else names
+        found = dict(zip(names, map(self.encode_new(named).__getitem__, named), strict=True))
+        table.update(found)
+        for name in names:
+            if len(name) > bpe.CACHE_WORD_CHARS:
+                del table[name]
+        return found
+
     def encode_new(self, parts: list[str]) -> dict[str, bytes]:
         """Packed ids of distinct pieces or parts of them.
 

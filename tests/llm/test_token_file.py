@@ -83,3 +83,33 @@ def test_words_and_marks_of_pieces_are_encoded_once():
         if text == texts[1]:
             assert sorted(seen) == sorted(["a", " river", " stone", ",", ".", "\n", "river"])
     assert max(map(len, [*tool._plain, *tool._after])) <= 60  # long pieces aren't kept
+
+
+def test_pieces_of_many_texts_are_looked_up_once(monkeypatch):
+    tool = token_file.LibraryEncoder(vocabulary())
+    texts = [
+        "a river, stone.\nriver stone! " * 30, None, "", " ", "word", " lead", "trail ", "two  spaces here", "x 　 y", "a<|endoftext|> river,", "<|endoftext|>", "line\n next\n\n last", "12. 3.5, 你好, é. z.",
+        "z" * 90 + " " + "y" * 90 + ". " + "y" * 90 + " " + "y" * 90 + ".\nriver", "it's . , a. b, I. \t. \n.", "\ta b\r\n c",
+    ]
+    want = [np.array(tool.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for text in texts]
+
+    class Counted(dict):
+        seen = 0
+
+        def get(self, *args):
+            Counted.seen += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            Counted.seen += 1
+            return super().__getitem__(key)
+
+    tool._after, tool._plain = Counted(tool._after), Counted(tool._plain)
+    assert list(tool.encode_packed(texts * 40)) == want * 40
+    assert Counted.seen < 200  # the texts have some 6000 pieces
+    for chars, most in ((1, 1), (40, 5), (300, 1_000_000)):
+        monkeypatch.setattr(token_file.LibraryEncoder, "cut_chars", chars)
+        monkeypatch.setattr(token_file.LibraryEncoder, "most_known", most)
+        assert list(tool.encode_packed(texts * 2)) == want * 2
+        assert list(token_file.LibraryEncoder(vocabulary()).encode_packed(texts)) == want
+    assert max(map(len, [*tool._plain, *tool._after])) <= 60
