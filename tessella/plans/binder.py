@@ -28,6 +28,13 @@ NUMERIC = ("int", "real")
 Typed = tuple[Column, str]
 
 
+def sortable(kind: T.DataType) -> bool:
+    """Can rows be ordered by values of that type?"""
+    if isinstance(kind, T.StructType):
+        return all(sortable(f.dataType) for f in kind.fields)
+    return sortable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType | T.CalendarIntervalType)
+
+
 def kind_of(field: T.StructField) -> str:
     """The engine's type of a Spark column."""
     logical = (field.metadata or {}).get("logical")
@@ -419,6 +426,9 @@ class Selection:
                 df = df.orderBy(F.col("_key").desc_nulls_last() if q.descending else F.col("_key").asc_nulls_first(), *keys)
         else:
             if q.order is not None:
+                if any(t.rowid is None for t in self.binder.tables):  # nothing but what is shown tells rows apart
+                    kinds = df.select(*[c.alias(k) for c, k in zip(columns, keys, strict=True)]).schema
+                    ties += [c.asc_nulls_first() for c, field in zip(columns, kinds, strict=True) if sortable(field.dataType)]
                 df = df.orderBy(key.desc_nulls_last() if q.descending else key.asc_nulls_first(), *ties)
             elif rowid and limit is not None:
                 df = df.orderBy(*ties)

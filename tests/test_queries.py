@@ -133,6 +133,18 @@ def test_select_takes_parameters(spark):
     assert select(spark, SF, "SELECT n_name FROM nation WHERE n_nationkey = ?", [3]).collect()[0][0] == "NATION_3"
 
 
+def test_ties_of_plain_tables_come_in_the_order_of_what_is_shown(spark, tmp_path):
+    part = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", (F.col("p_partkey") % 3 + 900.5).alias("p_retailprice"))
+    more = part.crossJoin(spark.range(4)).select((F.col("p_partkey") + F.col("id") * 99_900).alias("p_partkey"), "p_retailprice")
+    more.repartition(5, F.col("p_partkey") % 7).sortWithinPartitions(F.desc("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert [tuple(r) for r in catalog.QUERIES["order_expr"](spark, str(tmp_path)).collect()] == con.sql(catalog.SQL["order_expr"]).fetchall()
+    spark.range(6, 0, -1).select("id", F.create_map("id", "id").alias("m"), F.array("id").alias("v")).write.parquet(f"{tmp_path}/odd.parquet")
+    for shown in ("id, m", "m, v, id", "*"):
+        assert [r.id for r in select(spark, str(tmp_path), f"SELECT {shown} FROM odd ORDER BY id % 2 DESC LIMIT 4").collect()] == [1, 3, 5, 2]
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
